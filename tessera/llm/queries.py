@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing
+from tessera.llm import decontaminate, exact_dedup, mixing, substring_dedup
 from tessera.llm.common import table
 
 
@@ -11,9 +11,26 @@ def op3_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "whole", "part")
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op9_decontamination": op9_decontamination,
+}
+ORACLE_SQL = {
+    "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_decontamination": decontaminate.ORACLE_SQL,
+}
