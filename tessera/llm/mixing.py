@@ -14,7 +14,7 @@ the one cell at each source's edge is sorted. Cells are refined until they hold
 words, so the largest source needs no large task.
 
 A null text has size 0, is taken 0 words; a null source is a source of its own, last
-in order. Rows of one doc_id are sampled independently. Other columns are not read.
+in order. Rows of one doc_id follow each other in the sample's order. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``whole`` repetitions and then ``part`` words once more make ``taken`` words.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
-    h = F.xxhash64(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("long")
     docs = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), "sizes")
     per_source = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     epochs = F.col("target") / F.col("source_size")
@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "targets",
     )
     bits = CELLS.bit_length() - 1
-    cell = lambda level: F.shiftrightunsigned("h", 64 - bits * level)
+    cell = lambda level: F.shiftright("h", 60 - bits * level)
     docs = docs.select("*", cell(1).alias("c1"), cell(2).alias("c2"))
 
     # The first cell of each level in which the words run out, and the words left for it.
@@ -91,3 +91,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = at.where(~F.coalesce(at_edge, F.lit(False))).withColumn("part", F.when((F.col("lack") > 0) & below, F.col("size")).otherwise(F.lit(0)))
     cols = ["doc_id", "source", "size", "source_size", "target", "whole", F.col("part").cast("long").alias("part"), (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")]
     return rest.select(*cols).unionByName(edge.select(*cols))
+
+
+ORACLE_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR))), 1, 15) AS BIGINT) AS h FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s GROUP BY source),
+w AS (SELECT *, CAST(CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS w, source_size * CAST(2 AS DOUBLE) AS cap FROM p),
+l AS (SELECT *, row_number() OVER (ORDER BY cap / w, k) AS o,
+             (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT min(o) AS o, min_by(level, o) AS level FROM l WHERE level * w <= cap),
+t AS (SELECT source, source_size, CASE WHEN l.o >= f.o THEN least(f.level * w, cap) ELSE cap END AS target FROM l CROSS JOIN f),
+x AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS whole FROM t),
+y AS (SELECT *, CAST(round(target - whole * source_size) AS BIGINT) AS lack FROM x),
+z AS (SELECT doc_id, s.source, size, source_size, target, whole,
+             greatest(0, least(size, lack - (sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size))) AS part
+      FROM s JOIN y ON s.source IS NOT DISTINCT FROM y.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, source, whole, CAST(part AS BIGINT) AS part FROM z
+"""

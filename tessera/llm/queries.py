@@ -30,6 +30,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {
+    "op3_mixing": mixing.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_decontamination": decontaminate.ORACLE_SQL,
