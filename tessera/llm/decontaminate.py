@@ -116,12 +116,12 @@ def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 
 def _scan(block, keyed: bool):
-    """Of ``(doc_id, text)`` batches the result rows, or of ``(row, doc_id, text)`` the hit spans."""
+    """Of ``(doc_id, text, payload ...)`` batches the result rows, or of ``(row, doc_id, text)`` the hit spans."""
 
     def run(batches):
         lexer, found = alnum_lexer(), block.value
         for batch in batches:
-            ids, texts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            ids, texts = batch.column(int(keyed)), batch.column(1 + keyed)
             n_words, spans, items = [], [], []
             for lo, hi, data, offs in text_parts(texts):
                 starts, ends, h, woff = lexer.words(data, offs)
@@ -138,16 +138,18 @@ def _scan(block, keyed: bool):
                 cols = [batch.column(0), ids, pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_words", "spans", "items"])
             else:
-                yield _digest(ids, n_words, spans, items)
+                yield _digest(ids, n_words, spans, items, batch)
 
     return run
 
 
-def _digest(ids, n_words, spans, items) -> pa.RecordBatch:
+def _digest(ids, n_words, spans, items, batch) -> pa.RecordBatch:
+    """Result rows, with the columns of ``batch`` from the third on."""
     hit = [_covered(x) for x in spans]
     sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
     cols = [ids, pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    more = range(2, batch.num_columns)
+    return pa.RecordBatch.from_arrays(cols + [batch.column(i) for i in more], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(batch.schema.names[i] for i in more)])
 
 
 def _covered(spans) -> int:
@@ -171,35 +173,37 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, payload: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the columns named in ``payload`` as ``p_0`` on."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"p_{i}") for i, c in enumerate(payload)))
+    kind = ", ".join([RESULT, *(f"p_{i} {docs.schema[f'p_{i}'].dataType.simpleString()}" for i in range(len(payload)))])
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     first = next(blocks, [])
     second = next(blocks, None)
     made = sc.broadcast(index_block(first, window, gram))
     if second is None:
-        return docs.mapInArrow(_scan(made, keyed=False), RESULT)
+        return docs.mapInArrow(_scan(made, keyed=False), kind)
     docs = settle(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "documents")
-    parts = []
+    plain, parts = docs.select("row", "doc_id", "text"), []
     while second is not None:
-        parts.append(settle(docs.mapInArrow(_scan(made, keyed=True), SPANS), "spans"))
+        parts.append(settle(plain.mapInArrow(_scan(made, keyed=True), SPANS), "spans"))
         made.unpersist()
         made, second = sc.broadcast(index_block(second, window, gram)), next(blocks, None)
-    parts.append(settle(docs.mapInArrow(_scan(made, keyed=True), SPANS), "spans"))
+    parts.append(settle(plain.mapInArrow(_scan(made, keyed=True), SPANS), "spans"))
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
     # One row per block and document: a group is as small as the number of blocks.
-    united = every.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    united = every.groupBy("row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def digest(batches):
         for b in batches:
-            spans = [[(x >> 5, x & 31) for x in s] for s in b.column(2).to_pylist()]
-            yield _digest(b.column(0), b.column(1).to_pylist(), spans, [set(x) for x in b.column(3).to_pylist()])
+            n_words, spans, items = (b.column(i).to_pylist() for i in range(1, 4))
+            rest = b.select([0, 1, *range(4, b.num_columns)])
+            yield _digest(b.column(0), n_words, [[(x >> 5, x & 31) for x in s] for s in spans], [set(x) for x in items], rest)
 
-    return united.select("doc_id", "n_words", "spans", "items").mapInArrow(digest, RESULT)
+    return docs.drop("text").join(united, "row").select("doc_id", "n_words", "spans", "items", *(f"p_{i}" for i in range(len(payload)))).mapInArrow(digest, kind)
 
 
 ORACLE_SQL = r"""

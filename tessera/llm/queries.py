@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, mixing, substring_dedup
+from tessera.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, substring_dedup
 from tessera.llm.common import table
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "whole", "part")
@@ -19,14 +23,21 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {
