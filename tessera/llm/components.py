@@ -21,9 +21,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = links.unionByName(links.selectExpr("v as u", "u as v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
+        least = settle(least, "least")
         large = both.where("v > u").join(least, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()
         large = settle(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v"))
         links = settle(small.selectExpr("greatest(u, v) as u", "least(u, v) as v").where("u <> v").distinct(), "small")
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -189,11 +189,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts without words are told apart by their row.
     signed = settle(signed.withColumn("d2", F.expr("if(w = 0, row, d2)")), "signatures")
     dig = ["d1", "d2", "w"]
-    nodes = signed.groupBy(*dig).agg(F.min("row").alias("node"))
+    # Counts are written before they meet their rows: a join of two plain shuffles is one that AQE can split.
+    nodes = settle(signed.groupBy(*dig).agg(F.min("row").alias("node")), "nodes")
     reps = signed.where("w > 0").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
 
     each = reps.select("row", "w", F.explode("bands").alias("bh"))
     leader = each.groupBy("bh").agg(F.count("*").alias("n"), F.min("row").alias("l1"), F.max("row").alias("l2"), F.min_by("row", F.xxhash64("row")).alias("l3")).where("n > 1").drop("n")
+    leader = settle(leader, "leaders")
     met = each.select("row", "bh").join(leader, "bh").select("row", F.explode(F.array("l1", "l2", "l3")).alias("l"), "l1").where("l <> row")
     pairs = met.selectExpr("least(row, l) as a", "greatest(row, l) as b", "l = l1 as first").groupBy("a", "b").agg(F.max("first").alias("first"))
     size = signed.select("row", "w")
@@ -215,4 +217,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_row = of_row.join(comp, "node", "left").select("row", "id", F.coalesce("comp", "node").alias("comp"))
     of_row = settle(of_row, "classes")
     best = of_row.groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    best = settle(best, "best")
     return of_row.join(best, "comp").select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, substring_dedup
+from tessera.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, substring_dedup
 from tessera.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7_language_id(spark, sf_dir):
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_language_id": op7_language_id,
+    "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {
