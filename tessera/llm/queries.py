@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, substring_dedup
+from tessera.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, substring_dedup, warc
 from tessera.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.page_records(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "whole", "part")
@@ -38,6 +42,7 @@ def op9_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
@@ -46,6 +51,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {
+    "op2_warc": warc.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
