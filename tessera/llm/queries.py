@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, substring_dedup, warc
+from tessera.llm import decontaminate, exact_dedup, html_extract, language_id, licenses, mixing, near_dedup, substring_dedup, warc
 from tessera.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
@@ -55,5 +60,6 @@ ORACLE_SQL = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_license_scan": licenses.oracle_sql(),
     "op9_decontamination": decontaminate.ORACLE_SQL,
 }
