@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_extract, language_id, licenses, mixing, near_dedup, substring_dedup, warc
+from tessera.llm import decontaminate, exact_dedup, html_extract, language_id, licenses, mixing, near_dedup, quality_lm, substring_dedup, warc
 from tessera.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_lm(spark, sf_dir):
+    return quality_lm.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
@@ -54,6 +58,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
+    "op10_quality_lm": op10_quality_lm,
 }
 ORACLE_SQL = {
     "op2_warc": warc.ORACLE_SQL,
