@@ -34,7 +34,7 @@ from tessera.llm.common import ALNUM_WORD, settle
 from tessera.llm.lexer import alnum_lexer, mix, text_parts
 
 VOCABULARY = 4096
-HOT = 2 << 20
+HOT = 1 << 20
 #: Bits of the Bloom filter; fixed, whatever the model's size.
 FILTER_BITS = 26
 QUANTILE = 0.995
@@ -45,6 +45,8 @@ HOLD_OUT = 10
 _B = 14
 START, END, UNKNOWN = 0, 1, 2
 _PAIR = 1 << 60
+#: Training counts above this are told apart no further.
+_MOST = 10_000
 
 
 def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -122,7 +124,7 @@ def train(trusted: DataFrame, text_col: str = "text", vocabulary: int = VOCABULA
     spark = trusted.sparkSession
     texts = trusted.select(F.col(text_col).alias("t")).where("t is not null")
     words = texts.mapInArrow(_word_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "k").limit(min(vocabulary, (1 << _B) - 3)).select("k").toPandas()["k"].to_numpy(np.int64)
+    top = words.orderBy(F.desc("n"), "k").limit(min(vocabulary, (1 << _B) - 3)).select("k").toArrow()["k"].to_numpy()
     if not len(top):
         return None
     known = np.sort(top.view(np.uint64))
@@ -216,15 +218,21 @@ def perplexities(docs: DataFrame, model: dict, hot: int = HOT) -> DataFrame:
     """``docs``: (row, doc_id, t, lang, held). One row each: row, doc_id, lang, held, n_words, perplexity."""
     spark = docs.sparkSession
     values = model["values"]
-    top = values.orderBy(F.desc("n"), "key").limit(hot).select("key", "v").toPandas().sort_values("key")
-    least = values.orderBy(F.desc("n"), "key").select("n", "key").limit(hot).agg(F.min("n")).first()[0]
-    keys = top["key"].to_numpy(np.int64)
-    cold = values.where(F.col("n") <= F.lit(least or 0)).select("key", "v")
-    # Keys of the least hot count may be on either side; the hot ones never ask for a join.
-    words = cold.select("key").mapInArrow(_bit_rows, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    # The count from which on there are no more than ``hot`` n-grams.
+    least, taken = _MOST + 1, 0
+    for n, times in sorted(values.groupBy(F.least("n", F.lit(_MOST))).count().collect(), reverse=True):
+        if taken + times > hot:
+            break
+        least, taken = n, taken + times
+    top = values.where(F.col("n") >= least).select("key", "v").toArrow()
+    keys, v = top["key"].to_numpy(), top["v"].to_numpy()
+    order = np.argsort(keys)
+    keys, v = (keys[order], v[order]) if len(keys) else (np.full(1, -1), np.zeros(1))
+    cold = values.where(F.col("n") < least).select("key", "v")
+    words = cold.select("key").mapInArrow(_bit_rows, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    bits[words["w"]] = words["b"]
-    sent = spark.sparkContext.broadcast({"keys": keys if len(keys) else np.full(1, -1), "values": top["v"].to_numpy(np.float64) if len(keys) else np.zeros(1), "bits": bits.view(np.uint64), **{k: model[k] for k in ("words", "p1", "g1", "start")}})
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    sent = spark.sparkContext.broadcast({"keys": keys, "values": v, "bits": bits.view(np.uint64), **{k: model[k] for k in ("words", "p1", "g1", "start")}})
     kinds = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_p double, cold array<long>, lang string, held boolean"
     scored = settle(docs.mapInArrow(_scored(sent), kinds), "scored")
     asked = scored.select("row", F.explode("cold").alias("key"))
