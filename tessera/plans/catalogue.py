@@ -1,7 +1,543 @@
-"""The catalogue of queries over the star-schema, event and text tables."""
+"""The catalogue of queries over the star-schema, event and text tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = "a_usage_summary"
+from pyspark.sql import functions as F
+
+from tessera.functions import text as ft
+from tessera.operators import graph, history, search, sequence, textscan, usage
+from tessera.sources.tables import GRAPH_SQL, commit_files, schema_graph, table
+from tessera.streaming import daily as streaming
+
+QUERIES, ORACLE_SQL = {}, {}
+FLAGSHIP = "cochange_pairs"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# History: orders are commits, parts files, suppliers authors, brands directories.
+
+
+def _pairs(spark, d):
+    return history.co_change_pairs(commit_files(spark, d), min_commits=3, threshold=0.0)
+
+
+@query(history.COCHANGE_SQL + "SELECT * FROM pairs")
+def cochange_pairs(spark, d):
+    return _pairs(spark, d)
+
+
+@query(history.COCHANGE_SQL + """SELECT pairs.*, file_b - file_a <= 50 AS has_import, CASE WHEN file_b - file_a <= 50 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS confidence FROM pairs""")
+def hidden_coupling(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("source"))
+    links = part.select("source", F.explode(F.sequence(F.col("source") + 1, F.col("source") + 50)).alias("target"))
+    return history.hidden_coupling(_pairs(spark, d), links)
+
+
+@query(history.FILE_SQL)
+def file_ownership(spark, d):
+    return history.file_ownership(commit_files(spark, d))
+
+
+@query(history.DIR_SQL)
+def dir_ownership(spark, d):
+    dirs = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("dir"))
+    return history.directory_ownership(commit_files(spark, d), dirs)
+
+
+@query(history.RISK_SQL)
+def bus_factor_risks(spark, d):
+    return history.ownership_risks(commit_files(spark, d))
+
+
+@query("""SELECT o_orderkey AS sha, CASE WHEN k IN ('feat', 'fix') THEN k ELSE 'other' END AS type, CASE WHEN k IN ('feat', 'fix') THEN 'p' || lower(o_orderstatus) ELSE '' END AS scope,
+CASE WHEN k IN ('feat', 'fix') THEN 'order ' || o_orderkey ELSE k || '(p' || lower(o_orderstatus) || '): order ' || o_orderkey END AS title
+FROM (SELECT *, CASE o_orderstatus WHEN 'P' THEN 'feat' WHEN 'F' THEN 'fix' ELSE 'misc' END AS k FROM orders)""")
+def changelog(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "P", "feat").when(F.col("o_orderstatus") == "F", "fix").otherwise("misc")
+    subject = F.concat(kind, F.lit("(p"), F.lower("o_orderstatus"), F.lit("): order "), F.col("o_orderkey").cast("string"))
+    return history.changelog(table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), subject.alias("subject")))
+
+
+# Usage: events.
+
+
+def _is(kind):
+    return F.col("event_type") == kind
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS running,
+round(avg(value) FILTER (event_type = 'purchase'), 4) AS avg_value, round(coalesce(sum(value), 0), 2) AS total_value, round(CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) / count(*), 4) AS success_rate FROM events""")
+def usage_summary(spark, d):
+    return usage.summary(table(spark, d, "events"), _is("purchase"), _is("error"), _is("view"))
+
+
+DAILY_SQL = "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total_value FROM events GROUP BY 1"
+
+
+@query(DAILY_SQL)
+def usage_daily(spark, d):
+    return usage.daily(table(spark, d, "events"))
+
+
+@query(DAILY_SQL)
+def stream_daily_usage(spark, d):
+    return streaming.daily_usage(spark, d)
+
+
+@query("SELECT coalesce(event_type, 'unknown') AS key, count(*) AS n, round(avg(value), 4) AS avg_value, round(sum(value), 2) AS total_value FROM events GROUP BY 1")
+def type_breakdown(spark, d):
+    return usage.breakdown(table(spark, d, "events"), F.col("event_type"))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS key, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, key LIMIT 1")
+def most_used_key(spark, d):
+    return usage.most_used(table(spark, d, "events"), F.get_json_object("props", "$.k"))
+
+
+@query("SELECT user_id, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20")
+def top_users(spark, d):
+    return usage.top_users(table(spark, d, "events"))
+
+
+@query("SELECT event_id, ts, user_id, event_type, (SELECT count(*) FROM events WHERE event_type ILIKE '%err%') AS total_matches FROM events WHERE event_type ILIKE '%err%' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 20")
+def history_page(spark, d):
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return usage.history_page(events, F.col("event_type").ilike("%err%"), offset=20, size=20)
+
+
+@query("""SELECT event_id, user_id, count(*) OVER w AS in_window, count(*) OVER w > 3 AS limited FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)""")
+def rate_window(spark, d):
+    return usage.rate_window(table(spark, d, "events"))
+
+
+@query("""WITH x AS (SELECT user_id, event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)
+SELECT user_id, count(*) AS length, min(event_id) AS first_event FROM x WHERE bad GROUP BY user_id, run HAVING count(*) >= 3""")
+def event_streak(spark, d):
+    return usage.streaks(table(spark, d, "events"), _is("error"), at_least=3)
+
+
+_COST = """SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, CAST(value * 100 AS BIGINT) AS tokens_out FROM events"""
+_PRICE = "CASE WHEN event_type LIKE '%purchase%' THEN {} WHEN event_type LIKE '%click%' THEN {} ELSE {} END"
+
+
+def _costs(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("tokens_in"), F.round(F.col("value") * 100).cast("long").alias("tokens_out"))
+    return usage.cost(rows, "event_type", "tokens_in", "tokens_out")
+
+
+@query(f"SELECT *, round((tokens_in * CAST({_PRICE.format(3.0, 0.25, 1.0)} AS DOUBLE) + tokens_out * CAST({_PRICE.format(15.0, 1.25, 2.0)} AS DOUBLE)) / 1000000, 9) AS cost FROM ({_COST.replace('CAST(value * 100 AS BIGINT)', 'CAST(round(value * 100) AS BIGINT)')})")
+def cost_estimate(spark, d):
+    return _costs(spark, d)
+
+
+@query(f"WITH c AS ({ORACLE_SQL['cost_estimate']}) SELECT event_type AS tier, count(*) AS n, round(sum(cost), 4) AS total_cost FROM c GROUP BY 1")
+def tier_cost(spark, d):
+    return _costs(spark, d).groupBy(F.col("event_type").alias("tier")).agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("total_cost"))
+
+
+# Text scans.
+
+_LINES = "l AS (SELECT {id} AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_number FROM {t})"
+_RULES = ", ".join("('" + "', '".join(x.replace("'", "''") for x in r) + "')" for r in textscan.SECURITY_RULES)
+
+
+def _security_sql(t: str, id_: str) -> str:
+    anti, warn = (x.replace("'", "''") for x in (textscan.ANTI_HEADINGS, textscan.WARNING_WORDS))
+    return f"""WITH rules(rule_id, category, severity, pattern) AS (VALUES {_RULES}), {_LINES.format(t=t, id=id_)},
+f AS (SELECT *, trim(line, ' ') LIKE '```%' AS fence FROM l),
+x AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_number ROWS UNBOUNDED PRECEDING) AS fences, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS all_fences,
+  last_value(CASE WHEN regexp_matches(line, '^#{{1,3}} ') THEN lower(line) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY line_number ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS heading,
+  bool_or(regexp_matches(lower(line), '{warn}')) OVER (PARTITION BY id ORDER BY line_number ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS warned FROM f),
+y AS (SELECT *, coalesce(regexp_matches(heading, '{anti}'), FALSE) OR warned AS ctx, fence OR (fences % 2 = 1 AND NOT (all_fences % 2 = 1 AND fences = all_fences)) AS code FROM x)
+SELECT id, rule_id, category, CASE WHEN ctx AND code THEN 'info' WHEN ctx THEN 'low' ELSE severity END AS severity, CAST(line_number AS BIGINT) AS line_number, substr(trim(line, ' '), 1, 120) AS line_content
+FROM y JOIN rules ON regexp_matches(lower(line), pattern)"""
+
+
+@query(_security_sql("documents", "doc_id"))
+def security_findings(spark, d):
+    return textscan.security_findings(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH f AS ({_security_sql('documents', 'doc_id')}) SELECT id, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info")) + ", count(*) AS total, count(*) FILTER (severity IN ('critical', 'high')) = 0 AS passed FROM f GROUP BY id")
+def security_summary(spark, d):
+    return textscan.severity_summary(textscan.security_findings(table(spark, d, "documents"), "doc_id", "text"))
+
+
+@query(f"WITH f AS ({_security_sql('(SELECT conv_id * 1000 + turn AS id, text FROM conversations)', 'id')}) SELECT category, count(*) AS n FROM f GROUP BY 1")
+def injection_scan(spark, d):
+    turns = table(spark, d, "conversations").withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return textscan.security_findings(turns, "turn_id", "text").groupBy("category").agg(F.count("*").alias("n"))
+
+
+_W = "len(list_filter(regexp_split_to_array({}, '[ \\t\\n\\r\\f\\x0B]+'), lambda w : w <> ''))"
+SCORES_SQL = rf"""
+SELECT id, structure, completeness, code, clarity, overall, CASE WHEN overall >= 0.85 THEN 'PASS' WHEN overall >= 0.6 THEN 'WARN' ELSE 'FAIL' END AS grade FROM (
+SELECT *, round(0.3 * structure + 0.3 * completeness + 0.15 * code + 0.25 * clarity, 6) AS overall FROM (
+SELECT id,
+ CASE WHEN t = '' OR heads = 0 THEN 0.0 ELSE round(CASE WHEN h1 > 0 THEN 0.25 ELSE 0 END + CASE WHEN h2 >= 2 THEN 0.35 WHEN h2 = 1 THEN 0.15 ELSE 0 END + CASE WHEN h3 > 0 THEN 0.2 ELSE 0 END + CASE WHEN heads BETWEEN 3 AND 15 THEN 0.2 ELSE 0.1 END, 6) END::DOUBLE AS structure,
+ CASE WHEN t = '' THEN 0.0 ELSE round(CASE WHEN tr > 0 THEN 0.25 ELSE 0 END + CASE WHEN mermaid > 0 THEN 0.2 ELSE 0 END + CASE WHEN items >= 3 THEN 0.2 WHEN items > 0 THEN 0.1 ELSE 0 END + CASE WHEN bold >= 2 THEN 0.15 ELSE 0 END + CASE WHEN words >= 300 THEN 0.2 WHEN words >= 100 THEN 0.1 ELSE 0 END, 6) END::DOUBLE AS completeness,
+ CASE WHEN t = '' OR fences = 0 THEN 0.0 ELSE round(0.3 + CASE WHEN tagged > mermaid THEN 0.4 ELSE 0 END + CASE WHEN fences >= 2 THEN 0.3 ELSE 0 END, 6) END::DOUBLE AS code,
+ CASE WHEN t = '' THEN 0.0 ELSE round(CASE WHEN paras >= 3 THEN 0.3 WHEN paras = 2 THEN 0.15 ELSE 0 END + CASE WHEN mean <= 25 THEN 0.3 WHEN mean <= 40 THEN 0.15 ELSE 0 END + CASE WHEN words >= 200 THEN 0.2 WHEN words >= 50 THEN 0.1 ELSE 0 END + CASE WHEN blanks >= 3 THEN 0.2 ELSE 0 END, 6) END::DOUBLE AS clarity
+FROM (SELECT doc_id AS id, t, {_W.format('t')} AS words, len(regexp_extract_all(t, '(?m)^#')) AS heads, len(regexp_extract_all(t, '(?m)^# ')) AS h1, len(regexp_extract_all(t, '(?m)^## ')) AS h2, len(regexp_extract_all(t, '(?m)^### ')) AS h3,
+ len(regexp_extract_all(t, '(?m)^.*\|.*\|.*\|')) AS tr, len(regexp_extract_all(t, '```mermaid')) AS mermaid, len(regexp_extract_all(t, '(?m)^ *[-*] ')) AS items, len(regexp_extract_all(t, '\*\*[^*\n]+\*\*')) AS bold, len(regexp_extract_all(t, '```')) AS fences, len(regexp_extract_all(t, '```[a-z]')) AS tagged,
+ len(list_filter(string_split(t, chr(10) || chr(10)), lambda p : trim(p, ' ') <> '')) AS paras, len(regexp_extract_all(t, '\n\n')) AS blanks,
+ list_sum(list_transform(s, lambda x : {_W.format('x')})) / nullif(len(s), 0) AS mean
+ FROM (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]'), lambda x : trim(x, ' ') <> '' AND NOT starts_with(trim(x, ' '), '#')) AS s FROM documents))))
+"""
+
+
+@query(SCORES_SQL)
+def doc_scores(spark, d):
+    return textscan.doc_scores(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT grade, count(*) AS n FROM ({SCORES_SQL}) GROUP BY 1")
+def doc_grade_counts(spark, d):
+    return textscan.doc_scores(table(spark, d, "documents"), "doc_id", "text").groupBy("grade").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT round(avg(overall), 6) AS mean_overall, count(*) FILTER (overall >= 0.85) AS passed, count(*) FILTER (overall >= 0.6 AND overall < 0.85) AS warned, count(*) FILTER (overall < 0.6) AS failed, coalesce(min(overall) >= 0.7, TRUE) AS gate FROM ({SCORES_SQL})")
+def quality_gate(spark, d):
+    return textscan.quality_gate(textscan.doc_scores(table(spark, d, "documents"), "doc_id", "text"))
+
+
+@query(rf"""WITH b AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), {_LINES.format(t='documents', id='doc_id')},
+h AS (SELECT *, regexp_matches(line, '^#{{1,6}} ') AS head, trim(line, ' ') <> '' AND NOT regexp_matches(line, '^#{{1,6}} ') AND NOT starts_with(trim(line, ' '), '<!--') AS body FROM l),
+e AS (SELECT *, min(CASE WHEN head THEN line_number END) OVER w AS nh, min(CASE WHEN body THEN line_number END) OVER w AS nb, max(line_number) OVER (PARTITION BY id) AS lst FROM h WINDOW w AS (PARTITION BY id ORDER BY line_number ROWS BETWEEN 1 FOLLOWING AND 19 FOLLOWING)),
+p AS (SELECT id, unnest(string_split(t, chr(10) || chr(10))) AS p, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS pos FROM b)
+SELECT id, 'missing_h1' AS rule, CAST(1 AS BIGINT) AS line_number, 'error' AS severity FROM b WHERE NOT regexp_matches(t, '(?m)^# ')
+UNION ALL SELECT id, 'no_structure', 1, 'info' FROM b WHERE {_W.format('t')} > 50 AND NOT regexp_matches(t, '(?m)^ *[-*] |^\||```')
+UNION ALL SELECT id, 'long_paragraph', CAST(pos AS BIGINT), 'warning' FROM p WHERE {_W.format('p')} > 150 AND NOT regexp_matches(trim(p, ' '), '^(#|\||```)')
+UNION ALL SELECT id, 'empty_section', CAST(line_number AS BIGINT), 'warning' FROM e WHERE head AND line_number < lst AND coalesce(nb, 1099511627776) >= coalesce(nh, 1099511627776) AND (nh IS NOT NULL OR nb IS NULL)""")
+def style_violations(spark, d):
+    return textscan.style_violations(table(spark, d, "documents"), "doc_id", "text")
+
+
+_TOPIC = [p for _, p in textscan.TOPICS]
+
+
+@query("WITH x AS (SELECT doc_id AS id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{t}' END" for t, p in textscan.TOPICS) + "], lambda v : v IS NOT NULL) AS h FROM documents) SELECT id, coalesce(h[1], 'general') AS topic, array_to_string(h[2:6], ',') AS related FROM x")
+def doc_topics(spark, d):
+    return textscan.topics(table(spark, d, "documents"), "doc_id", "text")
+
+
+_MARKED = "(SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i : CASE WHEN i % 2 = 0 THEN 'NOTE: ' || x ELSE x END), chr(10)) AS text FROM documents)"
+
+
+@query(f"""WITH {_LINES.format(t=_MARKED, id='doc_id')}, x AS (SELECT *, array_to_string(list(line) OVER (PARTITION BY id ORDER BY line_number ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10)) AS context FROM l)
+SELECT id, CAST(line_number AS BIGINT) AS line_number, regexp_extract(line, '({textscan.MARKERS})[:(]', 1) AS marker, trim(regexp_extract(line, '(?:{textscan.MARKERS})[:(]+(.*)$', 1), ' ') AS text, context
+FROM x WHERE regexp_extract(line, '({textscan.MARKERS})[:(]', 1) <> '' AND length(trim(regexp_extract(line, '(?:{textscan.MARKERS})[:(]+(.*)$', 1), ' ')) >= 5""")
+def decisions_in_text(spark, d):
+    """Every second line is marked first: the tables hold no markers."""
+    marked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("NOTE: "), x)).otherwise(x))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("text"))
+    return textscan.decisions(docs, "doc_id", "text")
+
+
+_FACT = " ".join(f"WHEN regexp_matches(line, '{p}') THEN {{'t': '{k}', 'v': regexp_extract(line, '{p}', 1)}}" for k, _, p in textscan.FACT_RULES)
+
+
+@query(f"WITH {_LINES.format(t='documents', id='doc_id')}, x AS (SELECT id, line_number, CASE {_FACT} END AS f FROM l) SELECT f.t AS fact_type, f.v AS value, min({{'a': id, 'b': line_number}}).a AS first_id, CAST(min({{'a': id, 'b': line_number}}).b AS BIGINT) AS first_line FROM x WHERE f IS NOT NULL GROUP BY 1, 2")
+def fact_dedup(spark, d):
+    return textscan.facts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(r"""SELECT page_id AS id, CAST(i AS BIGINT) AS ord, CAST(regexp_extract(h, '^<h([1-6])', 1) AS BIGINT) AS level, trim(regexp_replace(h, '<[^>]*>', '', 'g'), ' ') AS heading
+FROM (SELECT page_id, unnest(x) AS h, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(<h[1-6][^>]*>[^<]*</h[1-6]>)') AS x FROM pages))""")
+def html_headings(spark, d):
+    return textscan.headings(table(spark, d, "pages"), "page_id", "html")
+
+
+@query()
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", textscan.strip_html(F.col("html")).alias("text"))
+
+
+@query()
+def rule_conflicts(spark, d):
+    return textscan.rule_conflicts(table(spark, d, "documents"), "doc_id", "text")
+
+
+# Sequences.
+
+
+@query("SELECT doc_id, CAST(greatest(1, length(coalesce(text, '')) // 4) AS BIGINT) AS tokens, CAST(length(coalesce(text, '')) // 4 AS BIGINT) AS plain_tokens FROM documents")
+def token_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", ft.token_estimate(F.col("text")).alias("tokens"), ft.token_estimate(F.col("text"), 0).alias("plain_tokens"))
+
+
+def _budget_items(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source", ft.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT * FROM (SELECT doc_id, source, CAST(greatest(1, length(coalesce(text, '')) // 4) AS BIGINT) AS tokens, CAST(sum(greatest(1, length(coalesce(text, '')) // 4)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used_tokens FROM documents) WHERE used_tokens <= 8000")
+def budget_prefix(spark, d):
+    return sequence.budget_prefix(_budget_items(spark, d), "source", ["doc_id"], "tokens", 8000)
+
+
+@query()
+def budget_firstfit(spark, d):
+    return sequence.first_fit(_budget_items(spark, d), "source", ["doc_id"], "tokens", "doc_id", 8000)
+
+
+@query("SELECT conv_id, turn, lag(turn) OVER w AS prev_page, lead(turn) OVER w AS next_page FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def page_links(spark, d):
+    return sequence.page_links(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, count(*) OVER w AS window_rows, CAST(sum(greatest(1, length(coalesce(text, '')) // 4)) OVER w AS BIGINT) AS window_tokens FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
+def context_window(spark, d):
+    turns = table(spark, d, "conversations").withColumn("tokens", ft.token_estimate(F.col("text")))
+    return sequence.context_window(turns, "conv_id", "turn", "tokens", 1)
+
+
+@query()
+def chunk_lines(spark, d):
+    return sequence.chunk_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def page_chunks(spark, d):
+    return sequence.page_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _at(spark, d):
+    return table(spark, d, "events").withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) AS sec FROM events), m AS (SELECT a.event_id AS left_id, b.event_id AS right_id, abs(a.sec - b.sec) AS distance
+FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'click' AND abs(a.sec - b.sec) <= 3600000000)
+SELECT left_id, right_id, distance FROM m QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) = 1""")
+def endpoint_nearest(spark, d):
+    e = _at(spark, d)
+    return sequence.nearest(e.where(_is("error")), e.where(_is("click")), "user_id", "sec", 3_600_000_000, "event_id", "event_id")
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) AS sec FROM events), s AS (SELECT event_id, user_id, sec, coalesce(lead(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id), sec) AS until FROM e WHERE event_type = 'signup')
+SELECT e.event_id AS point_id, arg_min(s.event_id, s.sec) AS span_id FROM e JOIN s ON e.user_id = s.user_id AND e.event_type = 'click' AND s.sec < e.sec AND e.sec <= s.until GROUP BY 1""")
+def interval_parent(spark, d):
+    from pyspark.sql import Window
+
+    e = _at(spark, d)
+    spans = e.where(_is("signup")).withColumn("until", F.coalesce(F.lead("sec").over(Window.partitionBy("user_id").orderBy("sec", "event_id")), "sec"))
+    return sequence.enclosing(e.where(_is("click")), spans, "user_id", "sec", "sec", "until", "event_id", "event_id")
+
+
+@query("""WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE source <> 'src1'), b AS (SELECT doc_id, sha256(CASE WHEN source = 'src2' THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END) AS h FROM documents WHERE source <> 'src3')
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'modified' END AS status FROM a FULL JOIN b USING (doc_id) WHERE a.h IS NULL OR b.h IS NULL OR a.h <> b.h""")
+def snapshot_diff(spark, d):
+    docs = table(spark, d, "documents")
+    new = docs.where("source <> 'src3'").withColumn("text", F.when(F.col("source") == "src2", F.upper("text")).otherwise(F.col("text")))
+    return sequence.snapshot_diff(docs.where("source <> 'src1'"), new, "doc_id", "text")
+
+
+@query("""WITH a AS (SELECT p_brand AS file, p_type AS kind, p_partkey AS id, p_name || p_size AS body FROM part),
+o AS (SELECT file, kind, 'n' || id AS name, body FROM a WHERE id % 7 <> 0), n AS (SELECT file, kind, CASE WHEN id % 5 = 0 THEN 'm' ELSE 'n' END || id AS name, CASE WHEN id % 11 = 0 THEN body || '!' ELSE body END AS body FROM a WHERE id % 13 <> 0),
+j AS (SELECT coalesce(o.file, n.file) AS file, coalesce(o.kind, n.kind) AS kind, coalesce(o.name, n.name) AS name, o.body AS ob, n.body AS nb FROM o FULL JOIN n ON o.file = n.file AND o.kind = n.kind AND o.name = n.name),
+g AS (SELECT file, kind, name, ob AS h, row_number() OVER (PARTITION BY file, kind, ob ORDER BY name) AS rn FROM j WHERE nb IS NULL), c AS (SELECT file, kind, name, nb AS h, row_number() OVER (PARTITION BY file, kind, nb ORDER BY name) AS rn FROM j WHERE ob IS NULL)
+SELECT file, kind, name, CAST(NULL AS VARCHAR) AS old_name, 'modified' AS status FROM j WHERE ob <> nb
+UNION ALL SELECT coalesce(g.file, c.file), coalesce(g.kind, c.kind), coalesce(c.name, g.name), CASE WHEN g.name IS NOT NULL AND c.name IS NOT NULL THEN g.name END, CASE WHEN c.name IS NULL THEN 'removed' WHEN g.name IS NULL THEN 'added' ELSE 'renamed' END
+FROM g FULL JOIN c ON g.file = c.file AND g.kind = c.kind AND g.h = c.h AND g.rn = c.rn""")
+def entity_diff(spark, d):
+    a = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("id"), F.concat("p_name", F.col("p_size").cast("string")).alias("body"))
+    named = lambda p: F.concat(p, F.col("id").cast("string")).alias("name")
+    old = a.where("id % 7 <> 0").select("file", "kind", named(F.lit("n")), "body")
+    new = a.where("id % 13 <> 0").select("file", "kind", named(F.when(F.col("id") % 5 == 0, "m").otherwise("n")), F.when(F.col("id") % 11 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("body"))
+    return sequence.entity_diff(old, new)
+
+
+# Search.
+
+_TOK = "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({}, '')), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+'), lambda w : w <> '')"
+BM25_SQL = f"""
+WITH d AS (SELECT doc_id AS id, {_TOK.format('text')} AS w FROM documents), q AS (SELECT item_id AS query_id, {_TOK.format('text')} AS w FROM benchmark),
+qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest(w) AS term FROM q) GROUP BY 1, 2),
+p AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+s AS (SELECT query_id, id, round(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)))), 6) AS score FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY 1, 2)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def _bm25(spark, d):
+    return search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query(BM25_SQL)
+def bm25_topk(spark, d):
+    return _bm25(spark, d)
+
+
+@query("SELECT id, score FROM (SELECT doc_id AS id, CAST((length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4 AS BIGINT) + CAST((length(lower(text)) - length(replace(lower(text), 'ment', ''))) / 4 AS BIGINT) AS score FROM documents) WHERE score > 0 ORDER BY score DESC, id LIMIT 3")
+def keyword_pages(spark, d):
+    return search.keyword_pages(table(spark, d, "documents"), ["tion", "of", "ment"], "text", "doc_id")
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def _vector_top(spark, d):
+    v = _vectors(spark, d)
+    return search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec"))
+
+
+_E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x : CAST(x AS DOUBLE)) AS v FROM embeddings)"
+VECTOR_SQL = f"WITH {_E}, s AS (SELECT q.id AS query_id, e.id, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM e, e AS q WHERE q.id % 50 = 0) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10"
+
+
+@query(VECTOR_SQL)
+def cosine_topk(spark, d):
+    return _vector_top(spark, d)
+
+
+@query(f"WITH {_E}, x AS (SELECT a.id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity FROM e a LEFT JOIN e b ON b.id = a.id - 1 AND b.id % 3 <> 0) SELECT id, similarity, similarity IS NULL OR similarity < 0.95 AS regenerate FROM x")
+def semantic_stale(spark, d):
+    v = _vectors(spark, d)
+    return search.stale(v, v.where("id % 3 <> 0").select((F.col("id") + 1).alias("id"), "vec"))
+
+
+@query(f"WITH s AS ({VECTOR_SQL}), k AS ({BM25_SQL}), f AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.id, k.id) AS id, round(coalesce(0.5 / (60 + s.rank), 0) + coalesce(0.5 / (60 + k.rank), 0), 9) AS score FROM s FULL JOIN k ON s.query_id = k.query_id AND s.id = k.id) SELECT query_id, id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10")
+def hybrid_rrf(spark, d):
+    return search.fuse(_vector_top(spark, d), _bm25(spark, d))
+
+
+# Graph: rows are modules, foreign keys imports.
+
+_DEG = "deg AS (SELECT n.id, n.layer, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) + coalesce(i.c, 0) AS degree FROM nodes n LEFT JOIN (SELECT source, count(*) AS c FROM edges GROUP BY 1) o ON o.source = n.id LEFT JOIN (SELECT target, count(*) AS c FROM edges GROUP BY 1) i ON i.target = n.id)"
+
+
+def _degrees(spark, d):
+    return graph.degrees(*schema_graph(spark, d))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT * FROM edges")
+def fk_edges(spark, d):
+    return schema_graph(spark, d)[1]
+
+
+@query(f"WITH {GRAPH_SQL}, {_DEG} SELECT * FROM deg ORDER BY degree DESC, id LIMIT 5")
+def degree_top(spark, d):
+    return _degrees(spark, d).orderBy(F.desc("degree"), "id").limit(5)
+
+
+@query(f"WITH {GRAPH_SQL}, {_DEG} SELECT layer, count(*) AS nodes, count(*) FILTER (degree = 0) AS isolated FROM deg GROUP BY 1")
+def isolated_nodes(spark, d):
+    return _degrees(spark, d).groupBy("layer").agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") == 0).alias("isolated"))
+
+
+@query(f"WITH {GRAPH_SQL}, b AS (SELECT r.id AS root, source AS node, 1 AS depth FROM nodes r JOIN edges ON target = r.id WHERE layer = 'region' UNION ALL SELECT r.id, e2.source, 2 FROM nodes r JOIN edges e1 ON e1.target = r.id JOIN edges e2 ON e2.target = e1.source WHERE layer = 'region') SELECT * FROM b")
+def blast_radius(spark, d):
+    nodes, edges = schema_graph(spark, d)
+    return graph.blast_radius(edges, nodes.where("layer = 'region'").select(F.col("id").alias("root")))
+
+
+@query(f"WITH {GRAPH_SQL}, b AS (SELECT r.id AS root, source AS node, 1 AS depth FROM nodes r JOIN edges ON target = r.id WHERE layer = 'region' UNION ALL SELECT r.id, e2.source, 2 FROM nodes r JOIN edges e1 ON e1.target = r.id JOIN edges e2 ON e2.target = e1.source WHERE layer = 'region') SELECT root, count(*) AS affected, CAST(max(depth) AS BIGINT) AS max_depth, count(*) > 50 AS exceeded_cap, CASE WHEN count(*) <= 3 THEN 'low' WHEN count(*) <= 10 THEN 'medium' ELSE 'high' END AS risk FROM b GROUP BY root")
+def blast_risk(spark, d):
+    nodes, edges = schema_graph(spark, d)
+    return graph.blast_summary(graph.blast_radius(edges, nodes.where("layer = 'region'").select(F.col("id").alias("root"))))
+
+
+@query(f"WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT id AS root, id AS node FROM nodes WHERE layer = 'supplier' UNION SELECT root, target FROM r JOIN edges ON source = node) SELECT root, node FROM r WHERE root <> node")
+def reachability(spark, d):
+    nodes, edges = schema_graph(spark, d)
+    return graph.reachable(edges, nodes.where("layer = 'supplier'").select(F.col("id").alias("root")))
+
+
+_PR = ", ".join(f"p{i} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce(sum(p.rank / o.c), 0) AS rank FROM nodes n LEFT JOIN edges e ON e.target = n.id LEFT JOIN p{i - 1} p ON p.id = e.source LEFT JOIN outs o ON o.source = e.source GROUP BY n.id)" for i in range(1, 21))
+
+
+@query(f"WITH {GRAPH_SQL}, outs AS (SELECT source, count(*) AS c FROM edges GROUP BY 1), p0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes), {_PR} SELECT id, round(rank / (SELECT sum(rank) FROM p20), 8) AS rank FROM p20")
+def pagerank20(spark, d):
+    return graph.pagerank(*schema_graph(spark, d)).select("id", F.round("rank", 8).alias("rank"))
+
+
+@query(f"WITH {GRAPH_SQL}, {_DEG} SELECT id, layer, degree FROM deg WHERE degree > 2 * (SELECT avg(degree) FROM deg)")
+def god_nodes(spark, d):
+    return graph.god_nodes(_degrees(spark, d))
+
+
+@query(f"WITH {GRAPH_SQL}, {_DEG} SELECT id, in_degree FROM deg WHERE in_degree >= greatest(3, 0.01 * (SELECT count(*) FROM deg))")
+def hub_nodes(spark, d):
+    return graph.hubs(_degrees(spark, d), share=0.01)
+
+
+@query(f"WITH {GRAPH_SQL}, {_DEG} SELECT count(*) FILTER (in_degree = 0 AND out_degree > 0) AS top_nodes, count(*) FILTER (out_degree = 0 AND in_degree > 0) AS bottom_nodes, CAST(0 AS BIGINT) AS violations, CAST(0.9 AS DOUBLE) AS confidence FROM deg")
+def layered_pattern(spark, d):
+    nodes, edges = schema_graph(spark, d)
+    return graph.layered_pattern(graph.degrees(nodes, edges), edges)
+
+
+@query()
+def communities_lp(spark, d):
+    return graph.label_communities(*schema_graph(spark, d))
+
+
+@query()
+def communities_mod(spark, d):
+    return graph.modularity_communities(*schema_graph(spark, d))
+
+
+@query()
+def circular_pattern(spark, d):
+    nodes, edges = schema_graph(spark, d)
+    back = nodes.where("layer = 'region'").select(F.col("id").alias("source"), F.concat(F.lit("n"), F.substring("id", 2, 9)).alias("target"), F.lit(1).cast("long").alias("weight"))
+    return graph.circular_pattern(nodes, edges.unionByName(back))
+
+
+@query("SELECT p_brand AS module, p_name AS name, p_partkey AS export_id FROM part p WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_brand AS importer, p_name AS used FROM part WHERE p_size < 3) i WHERE i.used = p.p_name AND i.importer <> p.p_brand)")
+def dead_exports(spark, d):
+    part = table(spark, d, "part")
+    return graph.dead_exports(part.select(F.col("p_brand").alias("module"), F.col("p_name").alias("name"), F.col("p_partkey").alias("export_id")), part.where("p_size < 3").select(F.col("p_brand").alias("importer"), F.col("p_name").alias("name")))
+
+
+@query()
+def provenance_summary(spark, d):
+    rule = F.when(F.col("l_returnflag") == "A", "import").when(F.col("l_returnflag") == "N", "type").otherwise("name")
+    rows = graph.with_provenance(table(spark, d, "lineitem").select(rule.alias("rule")))
+    kinds = spark.range(1).select(F.explode(F.array(*map(F.lit, ("extracted", "inferred", "ambiguous")))).alias("provenance"))
+    return kinds.join(rows.groupBy("provenance").agg(F.count("*").alias("n")), "provenance", "left").select("provenance", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+ORACLE_SQL["provenance_summary"] = "SELECT CASE l_returnflag WHEN 'A' THEN 'extracted' WHEN 'N' THEN 'inferred' ELSE 'ambiguous' END AS provenance, count(*) AS n FROM lineitem GROUP BY 1"
+ORACLE_SQL["rule_conflicts"] = (
+    f"WITH r AS (SELECT doc_id AS id, regexp_matches(lower(text), '{textscan.NEGATIVE.replace(chr(39), chr(39) * 2)}') AS neg, unnest(list_distinct(list_filter({_TOK.format('text')}, lambda w : length(w) >= 9))) AS w FROM documents) "
+    "SELECT a.id AS a, b.id AS b, count(*) AS shared FROM r a JOIN r b ON a.w = b.w AND NOT a.neg AND b.neg GROUP BY 1, 2"
+)
+
+
+# Coverage and dependencies: lines of orders as files, discounts as rates, sizes as versions.
+
+
+@query("SELECT l_suppkey AS dir, CAST(sum(CAST(round(l_discount * 100) AS BIGINT) * CAST(l_quantity AS BIGINT) // 10) AS BIGINT) AS lines_covered, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS lines_total, round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT) * CAST(l_quantity AS BIGINT) // 10) AS DOUBLE) / nullif(sum(CAST(l_quantity AS BIGINT)), 0), 6) AS line_rate FROM lineitem GROUP BY 1")
+def coverage_rollup(spark, d):
+    from tessera.sources import coverage
+
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("dir"), F.floor(F.round(F.col("l_discount") * 100).cast("long") * F.col("l_quantity").cast("long") / 10).alias("lines_covered"), F.col("l_quantity").cast("long").alias("lines_total"))
+    return coverage.rollup(rows, "dir")
+
+
+@query("SELECT p_name AS name, count(DISTINCT p_size) AS n_versions, CAST(max(p_size) AS BIGINT) AS max_version FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
+def dep_duplicates(spark, d):
+    from tessera.sources import locks
+
+    return locks.duplicates(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("version")))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, n_regionkey >= 2 AND n_name LIKE '%A%' OR n_name = 'PERU' AS enabled FROM nation")
+def template_conditions(spark, d):
+    from tessera.functions.conditions import compile_condition
+
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    facts = {"tech": F.array("n_name"), "config": F.array("n_name"), "path": F.array("n_name"), "layer": F.array("n_name"), "layer_count": F.col("n_regionkey"), "total_files": F.col("n_nationkey")}
+    return rows.withColumn("enabled", compile_condition("layer_count >= 2 and has_path_match('*A*') or has_tech('PERU')", facts))
