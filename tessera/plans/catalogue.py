@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as ft
-from tessera.operators import graph, history, search, sequence, textscan, usage
+from tessera.operators import graph, history, render, search, sequence, skill, textscan, usage
 from tessera.sources.tables import GRAPH_SQL, commit_files, schema_graph, table
 from tessera.streaming import daily as streaming
 
@@ -541,3 +541,48 @@ def template_conditions(spark, d):
     rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     facts = {"tech": F.array("n_name"), "config": F.array("n_name"), "path": F.array("n_name"), "layer": F.array("n_name"), "layer_count": F.col("n_regionkey"), "total_files": F.col("n_nationkey")}
     return rows.withColumn("enabled", compile_condition("layer_count >= 2 and has_path_match('*A*') or has_tech('PERU')", facts))
+
+
+# Skills, renderings and exports.
+
+
+@query()
+def skill_scores(spark, d):
+    return skill.skill_scores(table(spark, d, "documents"), "doc_id", "text")
+
+
+_HEAD = r"CASE WHEN regexp_matches(t, '^---\n(.|\n)*?\n---(\n|$)') THEN regexp_extract(t, '^---\n((.|\n)*?)\n---', 1) ELSE '' END"
+
+
+@query(
+    "WITH x AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), y AS (SELECT *, " + _HEAD + " AS h FROM x) "
+    + " UNION ALL ".join(f"SELECT id, 'missing_{k}' AS rule, 'error' AS level FROM y WHERE NOT regexp_matches(h, '(?m)^{k}:')" for k in ("name", "description", "version"))
+    + " UNION ALL SELECT id, 'missing_critical_rules', 'error' FROM y WHERE NOT regexp_matches(t, '(?m)^## Critical Rules')"
+    + r" UNION ALL SELECT id, 'template_tag', 'error' FROM y WHERE regexp_matches(t, '<%|\{\{')"
+    + " UNION ALL SELECT id, 'raw_html', 'error' FROM y WHERE regexp_matches(t, '</?(div|span|table|script|style|br|img)[ />]')"
+    + " UNION ALL SELECT id, 'too_long', 'warning' FROM y WHERE len(string_split(t, chr(10))) > 400"
+)
+def skill_validation(spark, d):
+    return skill.validate(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT 'graph LR' || chr(10) || string_agg('    ' || source || ' --> ' || target, chr(10) ORDER BY source, target) AS text FROM edges")
+def graph_mermaid(spark, d):
+    return render.mermaid(schema_graph(spark, d)[1])
+
+
+@query(f"WITH {GRAPH_SQL} SELECT 'digraph G {{' || chr(10) || string_agg('  \"' || source || '\" -> \"' || target || '\";', chr(10) ORDER BY source, target) || chr(10) || '}}' AS text FROM edges")
+def graph_dot(spark, d):
+    return render.dot(schema_graph(spark, d)[1])
+
+
+@query(f"WITH {GRAPH_SQL}, {_DEG} SELECT id, CAST((dense_rank() OVER (ORDER BY layer) - 1) * 220 AS BIGINT) AS x, CAST((row_number() OVER (PARTITION BY layer ORDER BY degree DESC, id) - 1) * 60 AS BIGINT) AS y FROM deg")
+def svg_layout(spark, d):
+    nodes, edges = schema_graph(spark, d)
+    return render.svg_layout(nodes, graph.degrees(nodes, edges))
+
+
+@query("WITH r AS (SELECT p_brand || '/' || p_partkey AS path, CAST(3 AS BIGINT) AS priority, CAST(length(p_name || p_type) // 4 AS BIGINT) AS tokens FROM part) SELECT *, sum(tokens) OVER (ORDER BY priority, path ROWS UNBOUNDED PRECEDING) <= 1000 AS kept FROM r")
+def export_view(spark, d):
+    files = table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.concat("p_name", "p_type").alias("content"))
+    return render.export_view(files, 1000)
