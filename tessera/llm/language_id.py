@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.lexer import text_parts
 
-DIMS = 1 << 14
+DIMS = 1 << 13
 MAX_LANGUAGES = 64
-SAMPLE = 4096
+SAMPLE = 2048
 CENTROIDS = 4
 #: Documents whose crc32 leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 4, 2
@@ -51,8 +51,8 @@ def gram_cells(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     two = x[:-1] << 8 | x[1:]
     three = two[:-1] << 8 | x[2:]
     cells = np.empty((len(three), 2), np.uint32)
-    cells[:, 0] = two[:-1] * np.uint32(0x9E3779B1) >> np.uint32(18)
-    cells[:, 1] = (three ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) >> np.uint32(18)
+    cells[:, 0] = two[:-1] * np.uint32(0x9E3779B1) >> np.uint32(19)
+    cells[:, 1] = (three ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) >> np.uint32(19)
     # Grams that reach over a space belong to no word; their cell is given to the gram of the space alone.
     over = (x[1:-1] == 32) & (x[:-2] != 32)
     cells[over, 1] = cells[over, 0]
@@ -74,10 +74,10 @@ def _sampled(batches):
             for i in range(hi - lo):
                 tf = np.bincount(cells[at[i] : at[i + 1]], minlength=DIMS)
                 where = np.flatnonzero(tf)
-                idx.append(where.astype(np.int32))
-                val.append(tf[where].astype(np.float32))
+                idx.append(where.astype(np.int32).tobytes())
+                val.append(tf[where].astype(np.float32).tobytes())
         langs = batch.column(0)
-        yield pa.RecordBatch.from_arrays([langs, pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["lang", "idx", "val"])
+        yield pa.RecordBatch.from_arrays([langs, pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "idx", "val"])
 
 
 def _centroids(v: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -101,16 +101,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each = sample // len(counts)
     share = F.create_map(*[F.lit(x) for l, n in counts for x in (l, min(1.0, each / n))])
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("i")), F.lit(1_000_003)) / 1_000_003
-    rows = known.where(F.col("l").isin([l for l, _ in counts]) & (u < F.element_at(share, F.col("l")))).select("l", "t").mapInArrow(_sampled, "lang string, idx array<int>, val array<float>").collect()
+    rows = known.where(F.col("l").isin([l for l, _ in counts]) & (u < F.element_at(share, F.col("l")))).select("l", "t").mapInArrow(_sampled, "lang string, idx binary, val binary").collect()
     rows = [r for r in rows if r["idx"]]
     if not rows:
         return empty
-    tf = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        tf[i, r["idx"]] = r["val"]
-    idf = np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
-    v, of, grams = _weigh(tf, idf).astype(np.float32), np.array([r["lang"] for r in rows]), tf.sum(1)
-    langs = sorted(set(of))
+    cells = [np.frombuffer(r["idx"], np.int32) for r in rows]
+    counts = [np.frombuffer(r["val"], np.float32) for r in rows]
+    df = np.bincount(np.concatenate(cells), minlength=DIMS)
+    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
+    v = np.zeros((len(rows), DIMS), np.float32)
+    for i, (c, n) in enumerate(zip(cells, counts, strict=True)):
+        x = np.log1p(n) * idf[c]
+        v[i, c] = x / np.linalg.norm(x)
+    of, grams = np.array([r["lang"] for r in rows]), np.array([n.sum() for n in counts])
+    langs = sorted({r["lang"] for r in rows})
     made = [_centroids(v[of == l], centroids, seed) for l in langs]
     floor = []
     for l, c in zip(langs, made, strict=True):
