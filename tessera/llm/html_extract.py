@@ -38,13 +38,13 @@ INLINE = FORMAT | {"a", "span"}
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-BOILER_WORDS = frozenset("ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+BOILER_WORDS = frozenset("ad ads adv alert alerts announcement announcements discussion dropdown feedback leaderboard outbrain paywall popular rss taboola ticker trending advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 MAIN_WORDS = frozenset("article articlebody content entry main post story text".split())
 _NEGATED = ("no-", "has-", "with-", "without-", "hide-", "show-", "no_", "has_", "with_")
 
 ADJACENT, SIBLING = 800, 700
 #: Weights of the classifier, in thousandths of a nat.
-BIAS, MAIN, BOILER, PARAGRAPH, HEADING, LINKED, LONG, STOPPED = -1200, 5200, -12000, 1500, 600, -6000, 600, 500
+BIAS, MAIN, BOILER, PARAGRAPH, HEADING, LINKED, LONG, STOPPED = -300, 5200, -12000, 1500, 1200, -6000, 600, 500
 
 
 def _hint(tag: str, attrs: str) -> tuple[bool, bool]:
