@@ -43,6 +43,8 @@ MAIN_WORDS = frozenset("article articlebody content entry main post story text".
 _NEGATED = ("no-", "has-", "with-", "without-", "hide-", "show-", "no_", "has_", "with_")
 
 ADJACENT, SIBLING = 800, 700
+#: An edge between a block with a boilerplate mark above it and one without says little.
+MARKED = 100
 #: Weights of the classifier, in thousandths of a nat.
 BIAS, MAIN, BOILER, PARAGRAPH, HEADING, LINKED, LONG, STOPPED = -300, 5200, -12000, 1500, 1200, -6000, 600, 500
 
@@ -170,7 +172,7 @@ def lean(block: tuple) -> int:
     words = text.count(" ") + 1
     odds = BIAS + MAIN * good + BOILER * bad + LINKED * min(linked, len(text)) // len(text)
     odds += PARAGRAPH * (tag in ("p", "blockquote", "pre")) + HEADING * (len(tag) == 2 and tag[0] == "h")
-    return odds + LONG * min(words.bit_length() - 2, 4) + STOPPED * (text[-1] in ".!?…:;\"”»")
+    return odds + LONG * min(max(words.bit_length() - 2, 0), 4) + STOPPED * (text[-1] in ".!?…:;\"”»")
 
 
 def min_cut(leans: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -234,9 +236,9 @@ def extract(page: str | None) -> str:
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, ADJACENT))
+            edges.append((i - 1, i, ADJACENT if b[3] == blocks[i - 1][3] else MARKED))
         if b[5] in last:
-            edges.append((last[b[5]], i, SIBLING))
+            edges.append((last[b[5]], i, SIBLING if b[3] == blocks[last[b[5]]][3] else MARKED))
         last[b[5]] = i
     labels = min_cut([lean(b) for b in blocks], edges)
     return "\n".join(b[0] for b, keep in zip(blocks, labels, strict=True) if keep)
