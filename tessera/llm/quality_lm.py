@@ -39,6 +39,8 @@ HOT = 1 << 20
 FILTER_BITS = 26
 QUANTILE = 0.995
 MIN_HELD_OUT = 20
+#: Up to so many trusted ids are broadcast; more meet their texts in one shuffle.
+FEW_LABELS = 1 << 20
 #: One of so many trusted texts is held out for thresholds.
 HOLD_OUT = 10
 
@@ -246,7 +248,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per document: ``doc_id, n_words, perplexity, threshold, kept``."""
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("g")).distinct()
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
-    docs = docs.join(good, F.col("doc_id") == F.col("g"), "left")
+    if good.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
+        # The ids fit a broadcast of known size, so texts stay where they are.
+        docs = docs.join(F.broadcast(good), F.col("doc_id") == F.col("g"), "left")
+    else:
+        docs = settle(docs.join(good, F.col("doc_id") == F.col("g"), "left"), "labelled")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLD_OUT == 0
     docs = docs.select("doc_id", "t", "lang", F.col("g").isNotNull().alias("good"), (F.col("g").isNotNull() & held).alias("held"), "row")
     model = train(docs.where("good and not held"), "t", **kw)
