@@ -13,8 +13,10 @@ Documents equal as bags collapse to one node first. Nodes that agree in a band m
 through that band's leaders (its smallest and largest node and the one of smallest
 hash), so a bucket of n nodes gives at most 3 n pairs. Pairs are checked exactly. The
 first round checks the smallest leaders; the second checks the others where the
-first has left two nodes in different components. Components of checked links are
-the classes.
+first has left two nodes in different components. Buckets that still hold several
+components go on: each round takes twice as many further leaders, until every bucket is
+of one component or all its nodes have led. So each two nodes of a common band are
+either checked or known to be in one class. Components of checked links are the classes.
 
 Texts of fewer than five words are one run; texts without words are never similar to
 anything and form a class each. Rows of one ``doc_id`` count as documents of their
@@ -181,6 +183,37 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members of buckets that hold nodes of several components, with the component ``c`` of each."""
+    named = members.drop("c").join(comp.selectExpr("node as row", "comp as c"), "row", "left").withColumn("c", F.coalesce("c", "row"))
+    named = settle(named, "named")
+    mixed = named.groupBy("bh").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("bh")
+    return settle(named.join(settle(mixed, "mixed"), "bh", "left_semi"), "open")
+
+
+def _finish(members: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Components with the links that no leader has met.
+
+    ``members``: (row, bh, w, u), where ``u`` is a node's hashed place in its bucket, from 0 to
+    the bucket's size. A round's leaders are those of the next places, and meet the members of
+    later places and other components; then they leave.
+    """
+    upto = 4
+    while True:
+        members = _open(members, comp)
+        if members.isEmpty():
+            return comp
+        lead = members.where(F.col("u") < upto).selectExpr("bh", "row as a", "w as wa", "c as ca", "u as ua")
+        later = (F.col("u") > F.col("ua")) | ((F.col("u") == F.col("ua")) & (F.col("row") > F.col("a")))
+        alike = F.least("w", "wa") >= threshold * F.greatest("w", "wa")
+        met = members.join(lead, "bh").where(later & (F.col("c") != F.col("ca")) & alike)
+        links = settle(_links(met.selectExpr("a", "row as b").distinct(), sets, threshold), "links3")
+        if not links.isEmpty():
+            comp = settle(components(comp.selectExpr("node as a", "comp as b").unionByName(links)), "comp3")
+        members = members.where(F.col("u") >= upto)
+        upto *= 2
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept``; ``class_id`` is the smallest ``doc_id`` of the class."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -194,15 +227,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = signed.where("w > 0").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
 
     each = reps.select("row", "w", F.explode("bands").alias("bh"))
-    leader = each.groupBy("bh").agg(F.count("*").alias("n"), F.min("row").alias("l1"), F.max("row").alias("l2"), F.min_by("row", F.xxhash64("row")).alias("l3")).where("n > 1").drop("n")
+    leader = each.groupBy("bh").agg(F.count("*").alias("n"), F.min("row").alias("l1"), F.max("row").alias("l2"), F.min_by("row", F.xxhash64("row")).alias("l3")).where("n > 1")
     leader = settle(leader, "leaders")
-    met = each.select("row", "bh").join(leader, "bh").select("row", F.explode(F.array("l1", "l2", "l3")).alias("l"), "l1").where("l <> row")
+    shared = settle(each.join(leader, "bh"), "shared")
+    met = shared.select("row", F.explode(F.array("l1", "l2", "l3")).alias("l"), "l1").where("l <> row")
     pairs = met.selectExpr("least(row, l) as a", "greatest(row, l) as b", "l = l1 as first").groupBy("a", "b").agg(F.max("first").alias("first"))
     size = signed.select("row", "w")
     pairs = pairs.join(size.withColumnRenamed("row", "a").withColumnRenamed("w", "wa"), "a").join(size.withColumnRenamed("row", "b").withColumnRenamed("w", "wb"), "b")
     pairs = settle(pairs.where(F.least("wa", "wb") >= threshold * F.greatest("wa", "wb")).select("a", "b", "first"), "pairs")
 
-    some = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(signed.select("row", "id", "th"), "row").withColumnRenamed("row", "node")
+    # Nodes that have not led, in buckets of two and more of them.
+    place = F.expr("n * (pmod(xxhash64(row, bh), 1073741824) / 1073741824.0D)")
+    members = shared.where("n > 4 or n = 4 and l3 in (l1, l2)").where("row not in (l1, l2, l3)").select("row", "bh", "w", place.alias("u"))
+
+    some = pairs.select(F.explode(F.array("a", "b")).alias("row")).union(members.select("row")).distinct().join(signed.select("row", "id", "th"), "row").withColumnRenamed("row", "node")
     texts = docs.join(some, docs["id"].eqNullSafe(some["id"]) & (docs["th"] == some["th"])).select("node", "text")
     sets = settle(texts.mapInArrow(_shingled(shingle), "node long, s array<int>"), "sets")
     links = settle(_links(pairs.where("first").select("a", "b"), sets, threshold), "links1")
@@ -212,6 +250,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = settle(_links(rest, sets, threshold), "links2")
     if not more.isEmpty():
         comp = settle(components(comp.selectExpr("node as a", "comp as b").unionByName(more)), "comp2")
+    comp = _finish(members, comp, sets, threshold)
 
     of_row = signed.select("row", "id", *dig).join(nodes, dig).select("row", "id", "node")
     of_row = of_row.join(comp, "node", "left").select("row", "id", F.coalesce("comp", "node").alias("comp"))

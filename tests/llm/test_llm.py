@@ -117,6 +117,27 @@ def bag(text, k=5):
     return collections.Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else collections.Counter()
 
 
+def brute_near(texts):
+    bags, up = [bag(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        low = sum((bags[i] & bags[j]).values())
+        if low and low >= 0.8 * sum((bags[i] | bags[j]).values()):
+            a, b = find(i), find(j)
+            up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def near(spark, texts, **kw):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in near_dedup.near_groups(docs, **kw).collect()}
+
+
 def test_near_groups_are_the_components_of_brute_force(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
@@ -129,20 +150,24 @@ def test_near_groups_are_the_components_of_brute_force(spark):
                 t[rnd.randrange(len(t))] = word()
             texts.append(" ".join(t) if rnd.random() < 0.7 else ", ".join(t).upper())
     texts += ["", None, "x", "X!"]
-    bags, up = [bag(t) for t in texts], list(range(len(texts)))
+    assert near(spark, texts) == brute_near(texts)
 
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
 
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        low = sum((bags[i] & bags[j]).values())
-        if low and low >= 0.8 * sum((bags[i] | bags[j]).values()):
-            a, b = find(i), find(j)
-            up[max(a, b)] = min(a, b)
-    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
+def test_near_links_among_nodes_that_no_leader_resembles(spark):
+    """Families share half of their runs, so every bucket of one row mixes them."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    core, texts = [word() for _ in range(200)], []
+    for _ in range(16):
+        own = core + [word() for _ in range(80)]
+        for _ in range(rnd.randint(1, 4)):
+            t = list(own)
+            t[rnd.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+    rnd.shuffle(texts)
+    want = brute_near(texts)
+    assert 10 < len(set(want.values())) < len(texts)
+    assert near(spark, texts, bands=8, rows=1) == want
 
 
 def test_dart_signatures_estimate_weighted_similarity():
