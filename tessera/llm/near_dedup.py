@@ -14,7 +14,7 @@ through that band's leaders (its smallest and largest node and the one of smalle
 hash), so a bucket of n nodes gives at most 3 n pairs. Pairs are checked exactly. The
 first round checks the smallest leaders; the second checks the others where the
 first has left two nodes in different components. Buckets that still hold several
-components go on: each round takes twice as many further leaders, until every bucket is
+components go on: each round takes eight times as many further leaders, until every bucket is
 of one component or all its nodes have led. So each two nodes of a common band are
 either checked or known to be in one class. Components of checked links are the classes.
 
@@ -40,6 +40,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
+#: Further leaders of a mixed bucket that are checked in one round; few buckets hold more nodes.
+ROUND = 32
 #: The first cells end at these ranks; later ones have the longest length.
 FIRST_CELL = 2.0**-12
 LAST_CELL = 8.0
@@ -198,7 +200,7 @@ def _finish(members: DataFrame, comp: DataFrame, sets: DataFrame, threshold: flo
     the bucket's size. A round's leaders are those of the next places, and meet the members of
     later places and other components; then they leave.
     """
-    upto = 4
+    upto = ROUND
     while True:
         members = _open(members, comp)
         if members.isEmpty():
@@ -211,7 +213,7 @@ def _finish(members: DataFrame, comp: DataFrame, sets: DataFrame, threshold: flo
         if not links.isEmpty():
             comp = settle(components(comp.selectExpr("node as a", "comp as b").unionByName(links)), "comp3")
         members = members.where(F.col("u") >= upto)
-        upto *= 2
+        upto *= 8
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -153,7 +153,8 @@ def test_near_groups_are_the_components_of_brute_force(spark):
     assert near(spark, texts) == brute_near(texts)
 
 
-def test_near_links_among_nodes_that_no_leader_resembles(spark):
+@pytest.mark.parametrize("first", [3, 32])
+def test_near_links_among_nodes_that_no_leader_resembles(spark, monkeypatch, first):
     """Families share half of their runs, so every bucket of one row mixes them."""
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
@@ -167,6 +168,7 @@ def test_near_links_among_nodes_that_no_leader_resembles(spark):
     rnd.shuffle(texts)
     want = brute_near(texts)
     assert 10 < len(set(want.values())) < len(texts)
+    monkeypatch.setattr(near_dedup, "ROUND", first)
     assert near(spark, texts, bands=8, rows=1) == want
 
 
