@@ -1,19 +1,23 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is trained on all trusted text but a held-out part. Words outside the
-``VOCABULARY`` most frequent ones are one unknown word, so an n-gram is packed into
-a long without hashing. Counts are summed per shard of n-grams; lower orders count
-the different words before them; each order has the discounts D1, D2 and D3+ of its own
-counts of counts. Trigrams seen once are dropped after the discounts are known, their
-mass goes to the lower order.
+The model is trained on all trusted text but a held-out part. Every trusted word is a
+word of its own: the ``FREQUENT`` most frequent ones have small numbers, which only
+make tables compact, the others their 63-bit hash. Nothing is broadcast per word of the
+vocabulary; words, bigrams and trigrams meet their counts in joins. The mass of the
+lowest order is spread over the seen words and the number of unseen ones that Chao's
+estimator gives, so each unknown word costs as much as one unseen word. With a
+``vocabulary`` given, all words outside the most frequent ones are one trained unknown
+word instead. Lower orders count the different words before them; each order has
+the discounts D1, D2 and D3+ of its own counts of counts. Trigrams seen once are
+dropped after the discounts are known, their mass goes to the lower order.
 
 The log probability of a text is a sum over its n-grams: with g the log of a context's
 back-off mass, log p1(c) + g(b) + g(ab) for every word, plus ``v(bc)`` and ``v(abc)``
 for the n-grams in the model, where v is what the longer n-gram adds to that. So scoring
-is one count join of n-grams and values and one sum per document. The dense word values
-and the ``HOT`` n-grams most frequent in training are broadcast (both of fixed size) and
-summed in place; of the others, only those that pass a Bloom filter of fixed size
-are dealt out and joined by shard, which is exact.
+is one count join of n-grams (named by ``xxhash64`` of their words) and values and one
+sum per document. The ``HOT`` n-grams most frequent in training are broadcast (of fixed
+size) and summed in place; of the others, only those that pass a Bloom filter of fixed
+size are dealt out and joined by shard.
 
 Thresholds are quantiles of the perplexity of held-out trusted texts per language;
 languages with fewer than ``MIN_HELD_OUT`` of them use that of all. Texts without
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ALNUM_WORD, settle
 from tessera.llm.lexer import alnum_lexer, mix, text_parts
 
-VOCABULARY = 4096
+#: So many words have small numbers; fixed, whatever the vocabulary's size.
+FREQUENT = 1 << 18
 HOT = 1 << 20
 #: Bits of the Bloom filter; fixed, whatever the model's size.
 FILTER_BITS = 26
@@ -44,19 +49,32 @@ FEW_LABELS = 1 << 20
 #: One of so many trusted texts is held out for thresholds.
 HOLD_OUT = 10
 
-_B = 14
 START, END, UNKNOWN = 0, 1, 2
-_PAIR = 1 << 60
 #: Training counts above this are told apart no further.
 _MOST = 10_000
 
 
-def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Numbers from 3 on of known words, in the order of their sorted hashes."""
-    if not len(vocabulary):
-        return np.full(len(h), UNKNOWN, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 3, UNKNOWN)
+def _ids(h: np.ndarray, frequent: np.ndarray, closed: bool) -> np.ndarray:
+    """Numbers from 3 on of frequent words, in the order of their sorted hashes; others are their hash, below 0, or unknown."""
+    rest = np.full(len(h), UNKNOWN, np.int64) if closed else h.view(np.int64) | np.int64(-(1 << 63))
+    if not len(frequent):
+        return rest
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    return np.where(frequent[at] == h, at + 3, rest)
+
+
+def _key(*columns: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of long columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
+        h = h + p5 + np.uint64(8) ^ turn(c.view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
 def _trigrams(x: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,14 +103,13 @@ def _word_counts(batches):
 
 def _trigram_counts(vocabulary):
     def run(batches):
-        lexer, known = alnum_lexer(), vocabulary.value
+        lexer, (frequent, closed) = alnum_lexer(), vocabulary.value
         for batch in batches:
             held, size = [], 0
             for _, _, data, offs in text_parts(batch.column(0)):
                 _, _, h, woff = lexer.words(data, offs)
-                a, b, c, _ = _trigrams(_ids(h, known), woff)
-                held.append(a << 2 * _B | b << _B | c)
-                size += len(a)
+                held.append(_trigrams(_ids(h, frequent, closed), woff)[:3])
+                size += len(held[-1][0])
                 if size > 2_000_000:
                     yield _counted(held)
                     held, size = [], 0
@@ -102,9 +119,13 @@ def _trigram_counts(vocabulary):
     return run
 
 
-def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
-    k, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+def _counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])] if len(a) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], c[at], np.diff(np.r_[at, len(a)]))], ["a", "b", "c", "n"])
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -121,57 +142,57 @@ def _d(ds: tuple[float, float, float]) -> Column:
     return F.when(F.col("n") == 1, ds[0]).when(F.col("n") == 2, ds[1]).otherwise(ds[2])
 
 
-def train(trusted: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, prune: int = 2) -> dict | None:
-    """The model: dense ``p1`` and ``g1``, ``start`` (log back-off of a text's start), and ``values``, a table (key, n, v)."""
+def train(trusted: DataFrame, text_col: str = "text", vocabulary: int | None = None, prune: int = 2) -> dict | None:
+    """The model: ``frequent`` words, the logs ``unknown`` (an unseen word), ``start`` and ``end`` of a text, and ``values``, a table (key, n, v)."""
     spark = trusted.sparkSession
     texts = trusted.select(F.col(text_col).alias("t")).where("t is not null")
-    words = texts.mapInArrow(_word_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "k").limit(min(vocabulary, (1 << _B) - 3)).select("k").toArrow()["k"].to_numpy()
+    words = settle(texts.mapInArrow(_word_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
+    closed = vocabulary is not None
+    top = words.orderBy(F.desc("n"), "k").limit(vocabulary if closed else FREQUENT).select("k").toArrow()["k"].to_numpy()
     if not len(top):
         return None
-    known = np.sort(top.view(np.uint64))
-    sent = spark.sparkContext.broadcast(known)
-    tri = settle(texts.mapInArrow(_trigram_counts(sent), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "trigrams")
+    frequent = np.sort(top.view(np.uint64))
+    sent = spark.sparkContext.broadcast((frequent, closed))
+    tri = settle(texts.mapInArrow(_trigram_counts(sent), "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "trigrams")
 
-    low, mask = (1 << 2 * _B) - 1, (1 << _B) - 1
-    pairs = tri.groupBy((F.col("k").bitwiseAND(low)).alias("k")).agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    pairs = tri.groupBy("b", "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     # What starts a text has nothing before it: it keeps its plain count.
-    pairs = settle(pairs.select("k", F.when(F.shiftright("k", _B) == START, F.col("s")).otherwise(F.col("m")).alias("n")), "pairs")
-    ones = pairs.groupBy(F.col("k").bitwiseAND(mask).alias("c")).agg(F.count("*").alias("n")).toPandas()
+    pairs = settle(pairs.select("b", "c", F.when(F.col("b") == START, F.col("s")).otherwise(F.col("m")).alias("n")), "pairs")
+    ones = settle(pairs.groupBy("c").agg(F.count("*").alias("n1")), "ones")
     d3, d2 = _discounts(tri), _discounts(pairs)
 
-    n1, size = np.zeros(len(known) + 3), len(known) + 2
-    n1[ones["c"]] = ones["n"]
-    total = n1.sum()
+    if closed:
+        size = len(frequent) + 2
+    else:
+        seen, f1, f2 = words.agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        # The text's end is a word, and at least one is unseen.
+        size = seen + 1 + max(f1 * f1 / (2 * f2) if f2 else f1 * (f1 - 1) / 2, 1)
+    total, types = ones.agg(F.sum("n1"), F.count("*")).first()
     d1 = 0.75
-    p1 = np.maximum(n1 - d1, 0) / total + d1 * (n1 > 0).sum() / total / size
-    p1[START] = 1.0
+    base = d1 * types / total / size
 
-    def contexts(counts: DataFrame, d, floor: int) -> DataFrame:
+    def contexts(counts: DataFrame, keys: list[str], d, floor: int) -> DataFrame:
         kept = F.when(F.col("n") >= floor, _d(d)).otherwise(F.col("n"))
-        return counts.groupBy(F.shiftright("k", _B).alias("ctx")).agg(F.sum("n").alias("total"), (F.sum(kept) / F.sum("n")).alias("mass"))
-
-    ctx1 = contexts(pairs, d2, 1).toPandas()
-    g1 = np.zeros(len(known) + 3)
-    g1[ctx1["ctx"]] = np.log(ctx1["mass"])
-    ctx2 = settle(contexts(tri, d3, prune), "contexts")
-    start = ctx2.where(F.col("ctx") == START).select(F.log("mass")).first()
-
-    p1_table = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p1)], "c int, p1 double")
-    b_table = spark.createDataFrame([(int(a), float(t), float(m)) for a, t, m in ctx1.itertuples(index=False)], "b int, total double, mass double")
-    two = pairs.select("k", "n", F.col("k").bitwiseAND(mask).cast("int").alias("c"), F.shiftright("k", _B).cast("int").alias("b"))
-    # Both tables have a row per word of the bounded vocabulary.
-    two = two.join(F.broadcast(p1_table), "c").join(F.broadcast(b_table), "b")
+        return counts.groupBy(*keys).agg(F.sum("n").alias("total"), (F.sum(kept) / F.sum("n")).alias("mass"))
+
+    ctx1 = settle(contexts(pairs, ["b"], d2, 1), "contexts")
+    ctx2 = settle(contexts(tri, ["a", "b"], d3, prune), "contexts")
+    ones = ones.select("c", "n1", (F.greatest(F.col("n1") - d1, F.lit(0.0)) / total + base).alias("p1"))
+    end = ones.where(F.col("c") == END).first()["p1"]
+    start = ctx1.where(F.col("b") == START).first()["mass"] * ctx2.where((F.col("a") == START) & (F.col("b") == START)).first()["mass"]
+
+    back = ctx1.select(F.col("b").alias("c"), F.log("mass").alias("g"))
+    word_values = ones.where(F.col("c") != END).join(back, "c", "left").select(F.xxhash64("c").alias("key"), F.col("n1").alias("n"), (F.log("p1") - math.log(base) + F.coalesce("g", F.lit(0.0))).alias("v"))
     low_p = F.col("mass") * F.col("p1")
-    two = settle(two.select("k", "n", (F.greatest(F.col("n") - _d(d2), F.lit(0.0)) / F.col("total") + low_p).alias("p"), F.log(low_p).alias("low")), "bigrams")
-    g2 = ctx2.select(F.col("ctx").alias("k"), F.log("mass").alias("g"))
-    pair_values = two.join(g2, "k", "left").select((F.col("k") + _PAIR).alias("key"), "n", (F.log("p") - F.col("low") + F.coalesce("g", F.lit(0.0))).alias("v"))
-    three = tri.where(F.col("n") >= prune).select("k", "n", F.shiftright("k", _B).alias("ctx"), F.col("k").bitwiseAND(low).alias("bc"))
-    three = three.join(ctx2, "ctx").join(two.select(F.col("k").alias("bc"), F.col("p").alias("p2")), "bc")
+    two = pairs.join(ones.drop("n1"), "c").join(ctx1, "b")
+    two = settle(two.select("b", "c", "n", (F.greatest(F.col("n") - _d(d2), F.lit(0.0)) / F.col("total") + low_p).alias("p"), F.log(low_p).alias("low")), "bigrams")
+    g2 = ctx2.select(F.col("a").alias("b"), F.col("b").alias("c"), F.log("mass").alias("g"))
+    pair_values = two.join(g2, ["b", "c"], "left").select(F.xxhash64("b", "c").alias("key"), "n", (F.log("p") - F.col("low") + F.coalesce("g", F.lit(0.0))).alias("v"))
+    three = tri.where(F.col("n") >= prune).join(ctx2, ["a", "b"]).join(two.select("b", "c", F.col("p").alias("p2")), ["b", "c"])
     p3 = F.greatest(F.col("n") - _d(d3), F.lit(0.0)) / F.col("total") + F.col("mass") * F.col("p2")
-    tri_values = three.select(F.col("k").alias("key"), "n", (F.log(p3) - F.log(F.col("mass") * F.col("p2"))).alias("v"))
-    values = settle(pair_values.unionByName(tri_values), "values")
-    return {"words": known, "p1": np.log(p1), "g1": g1, "start": float(start[0]) if start else 0.0, "values": values}
+    tri_values = three.select(F.xxhash64("a", "b", "c").alias("key"), "n", (F.log(p3) - F.log(F.col("mass") * F.col("p2"))).alias("v"))
+    values = settle(word_values.unionByName(pair_values).unionByName(tri_values), "values")
+    return {"frequent": frequent, "closed": closed, "unknown": math.log(base), "start": math.log(start), "end": math.log(end), "values": values}
 
 
 def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,15 +209,16 @@ def _bit_rows(batches):
 def _scored(model):
     def run(batches):
         lexer, m = alnum_lexer(), model.value
-        keys, values, bits, p1, g1 = m["keys"], m["values"], m["bits"], m["p1"], m["g1"]
+        keys, values, bits = m["keys"], m["values"], m["bits"]
         for batch in batches:
             for lo, hi, data, offs in text_parts(batch.column(2)):
                 _, _, h, woff = lexer.words(data, offs)
-                a, b, c, of = _trigrams(_ids(h, m["words"]), woff)
-                n = hi - lo
-                log_p = np.bincount(of, p1[c] + g1[b], n) + np.where(np.diff(woff) > 0, m["start"], 0.0)
+                a, b, c, of = _trigrams(_ids(h, m["frequent"], m["closed"]), woff)
+                n, words = hi - lo, np.diff(woff)
+                log_p = np.where(words > 0, m["start"] + m["end"] + words * m["unknown"], 0.0)
                 cold_key, cold_of = [], []
-                for key in ((b << _B | c) + _PAIR, a << 2 * _B | b << _B | c):
+                inside = c != END
+                for key, of in ((_key(c[inside]), of[inside]), (_key(b, c), of), (_key(a, b, c), of)):
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     hot = keys[at] == key
                     log_p += np.bincount(of[hot], values[at[hot]], n)
@@ -209,7 +231,6 @@ def _scored(model):
                 cold_of = np.concatenate(cold_of)
                 order = np.argsort(cold_of, kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cold_of[order], np.arange(n + 1)).astype(np.int32)), pa.array(np.concatenate(cold_key)[order]))
-                words = np.diff(woff)
                 cols = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(words), pa.array(log_p), lists, batch.column(3).slice(lo, n), batch.column(4).slice(lo, n)]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_words", "log_p", "cold", "lang", "held"])
 
@@ -234,7 +255,7 @@ def perplexities(docs: DataFrame, model: dict, hot: int = HOT) -> DataFrame:
     words = cold.select("key").mapInArrow(_bit_rows, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
     bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    sent = spark.sparkContext.broadcast({"keys": keys, "values": v, "bits": bits.view(np.uint64), **{k: model[k] for k in ("words", "p1", "g1", "start")}})
+    sent = spark.sparkContext.broadcast({"keys": keys, "values": v, "bits": bits.view(np.uint64), **{k: model[k] for k in ("frequent", "closed", "unknown", "start", "end")}})
     kinds = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_p double, cold array<long>, lang string, held boolean"
     scored = settle(docs.mapInArrow(_scored(sent), kinds), "scored")
     asked = scored.select("row", F.explode("cold").alias("key"))

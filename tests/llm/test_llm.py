@@ -426,3 +426,19 @@ def test_perplexity_against_dictionaries(spark, hot):
     got = {r.doc_id: r.perplexity for r in quality_lm.perplexities(docs, model, hot=hot).collect()}
     want = brute_perplexity(good, other, 6)
     assert [got[i] for i in range(len(other))] == [None if w is None else pytest.approx(w, rel=1e-6) for w in want]
+
+
+def test_every_trusted_word_has_its_own_counts_and_unknown_words_cost(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 40)))
+    good = [text() for _ in range(80)]
+    other = [*(text() for _ in range(20)), "zz yy a b", "", "zz"]
+    score = lambda texts, model: [r.perplexity for r in quality_lm.perplexities(spark.createDataFrame([(i, i, t, "en", False) for i, t in enumerate(texts)], "row long, doc_id long, t string, lang string, held boolean"), model, hot=7).orderBy("row").collect()]
+    # No letter is seen once or twice, so one unseen word is assumed, as in the dictionaries.
+    want = brute_perplexity(good, other, 1 << 20)
+    assert score(other, quality_lm.train(spark.createDataFrame([(t,) for t in good], "text string"))) == [None if w is None else pytest.approx(w, rel=1e-6) for w in want]
+    # More words than were ever numbered.
+    words = [f"w{i}" for i in range(9000)]
+    many = [" ".join(["the", *rnd.sample(words, 60)]) for _ in range(400)]
+    seen, junk = score([" ".join(rnd.sample(words, 60)), " ".join(f"x{i}" for i in range(60))], quality_lm.train(spark.createDataFrame([(t,) for t in many], "text string")))
+    assert junk > 3 * seen
