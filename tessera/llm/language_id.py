@@ -4,8 +4,11 @@ A text is a vector of hashed byte 2- and 3-grams of its letters (A-Z as a-z, run
 other characters as one space), TF-IDF weighted and of unit length. Per language a few
 centroids are fitted by spherical k-means on a bounded sample of the labelled texts;
 a text gets the language of the centroid with the largest cosine, whole text, no
-prefix. A text whose best cosine lies below ``reject_share`` of the lowest cosine seen
-in the language's sample (texts of ``min_grams`` grams or more) is rejected.
+prefix. A text of ``min_grams`` grams or more is rejected if its best cosine lies below
+``reject_share`` of what the lowest ``reject_quantile`` of the language's sample reaches
+at its length: cosines are compared as shares of the usual cosine of texts with as many
+grams. Few labelled texts say little of a low quantile, so it leans on that of all
+languages with the weight of ``PRIOR`` texts.
 
 Bounds: at most ``MAX_LANGUAGES`` languages (the most frequent), about
 ``SAMPLE`` texts in all, picked by a hash of their ``doc_id``; the sample is
@@ -29,6 +32,7 @@ DIMS = 1 << 13
 MAX_LANGUAGES = 64
 SAMPLE = 2048
 CENTROIDS = 4
+PRIOR = 100
 #: Documents whose crc32 leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 4, 2
 
@@ -90,12 +94,29 @@ def _centroids(v: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray
     return c
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS, reject_share: float = 0.25, min_grams: int = 40, seed: int = 5) -> dict:
-    """The model as plain arrays: ``langs``, ``idf``, ``centroids``, ``owner``, ``floor``."""
+def _usual(grams: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of numbers of grams and the usual cosine there: medians of groups of 16 texts or more of like length, never falling."""
+    if not len(grams):
+        return np.zeros(1), np.ones(1)
+    order = np.argsort(grams, kind="stable")
+    parts = np.array_split(order, min(max(len(order) // 16, 1), 24))
+    at = np.array([np.median(np.log(grams[p])) for p in parts])
+    return at, np.maximum.accumulate([max(float(np.median(cos[p])), 1e-6) for p in parts])
+
+
+def _expected(grams: np.ndarray, usual: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The usual cosine of texts with so many grams; it falls with the root of the length below the shortest known ones."""
+    at, cos = usual
+    x = np.log(np.maximum(grams, 1))
+    return np.interp(x, at, cos) * np.exp(np.minimum(x - at[0], 0) / 2)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS, reject_share: float = 0.67, reject_quantile: float = 0.005, min_grams: int = 40, seed: int = 5) -> dict:
+    """The model as plain arrays: ``langs``, ``idf``, ``centroids``, ``owner``, and ``floor`` as shares of ``usual``."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold, F.lit(0)) != HELD_OUT)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    empty = {"langs": [], "idf": np.ones(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "owner": np.zeros(0, int), "floor": np.zeros(0, np.float32)}
+    empty = {"langs": [], "idf": np.ones(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "owner": np.zeros(0, int), "floor": np.zeros(0, np.float32), "usual": _usual(np.zeros(0), np.zeros(0))}
     if not counts:
         return empty
     each = sample // len(counts)
@@ -116,11 +137,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     of, grams = np.array([r["lang"] for r in rows]), np.array([n.sum() for n in counts])
     langs = sorted({r["lang"] for r in rows})
     made = [_centroids(v[of == l], centroids, seed) for l in langs]
-    floor = []
+    long = grams >= min_grams
+    cos = np.zeros(len(rows))
     for l, c in zip(langs, made, strict=True):
-        long = (of == l) & (grams >= min_grams)
-        floor.append(reject_share * float((v[long] @ c.T).max(1).min()) if long.any() else 0.0)
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(made).astype(np.float32), "owner": np.repeat(np.arange(len(langs)), [len(c) for c in made]), "floor": np.array(floor, np.float32), "min_grams": min_grams}
+        cos[of == l] = (v[of == l] @ c.T).max(1)
+    usual = _usual(grams[long], cos[long])
+    share = cos / _expected(grams, usual)
+    all_low = float(np.quantile(share[long], reject_quantile)) if long.any() else 0.0
+    floor = []
+    for l in langs:
+        own = share[long & (of == l)]
+        low = float(np.quantile(own, reject_quantile)) if len(own) else all_low
+        floor.append(reject_share * (len(own) * low + PRIOR * all_low) / (len(own) + PRIOR))
+    return {"langs": langs, "idf": idf, "centroids": np.concatenate(made).astype(np.float32), "owner": np.repeat(np.arange(len(langs)), [len(c) for c in made]), "floor": np.array(floor, np.float32), "usual": usual, "min_grams": min_grams}
 
 
 def _predicted(model):
@@ -140,12 +169,13 @@ def _predicted(model):
                     if n_langs:
                         cos = np.clip(_weigh(tf, m["idf"]).astype(np.float32) @ base, 0, 1)
                         best = cos.argmax(1)
-                        top, owner, few = cos[np.arange(b - a), best], m["owner"][best], tf.sum(1) < m["min_grams"]
+                        top, owner, grams = cos[np.arange(b - a), best], m["owner"][best], tf.sum(1)
+                        far = (grams >= m["min_grams"]) & (top < m["floor"][owner] * _expected(grams, m["usual"]))
                     for j in range(b - a):
                         if not letters[lo + a + j] or not n_langs:
                             pred.append("und"), score.append(0.0), rejected.append(True)
                         else:
-                            pred.append(langs[owner[j]]), score.append(float(top[j])), rejected.append(bool(not few[j] and top[j] < m["floor"][owner[j]]))
+                            pred.append(langs[owner[j]]), score.append(float(top[j])), rejected.append(bool(far[j]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *(batch.column(i) for i in range(3, batch.num_columns))], ["doc_id", "lang_pred", "score", "rejected", *batch.schema.names[3:]])
 
     return run

@@ -1,5 +1,6 @@
 """Each training-data operator against SQL, a brute-force version or planted cases, with nulls, empties, ties and clashing names."""
 
+import base64
 import collections
 import gzip
 import hashlib
@@ -283,6 +284,27 @@ def test_texts_without_letters_are_und(spark):
     assert found[1].lang_pred != "und"
 
 
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "letters": "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz    ", k=600)),
+    "base64": base64.b64encode(random.Random(7).randbytes(450)).decode(),
+    "long letters": "".join(random.Random(8).choices("abcdefghijklmnopqrstuvwxyz    ", k=20_000)),
+}
+
+
+def test_foreign_and_random_texts_are_rejected_and_clean_ones_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    planted = spark.createDataFrame(list(FOREIGN.items()), "doc_id string, text string")
+    found = {r.doc_id: r.rejected for r in language_id.identify(planted, model).collect()}
+    assert found == dict.fromkeys(FOREIGN, True)
+    # Clean texts, whole and cut to the length of the planted ones.
+    clean = docs.where("lang is not null and length(text) > 400").select("doc_id", F.explode(F.array("text", F.substring("text", 1, 300))).alias("text"))
+    assert language_id.identify(clean, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.01
+
+
 # Pages
 
 
