@@ -14,23 +14,54 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
 
 
-#: (rule, category, severity, pattern): case-insensitive, safe for RE2 and Java alike.
+#: (rule, category, severity, pattern): case-insensitive, safe for RE2 and Java alike. SEC-001 to SEC-047 are those of the
+#: original; the named ones after them go beyond it, so a line may have one of each.
 SECURITY_RULES = (
+    ("SEC-001", "prompt_injection", "critical", r"ignore\s+(all\s+)?previous\s+instructions"),
+    ("SEC-002", "prompt_injection", "critical", r"you\s+are\s+now\s+"),
+    ("SEC-003", "prompt_injection", "critical", r"system\s*:\s*"),
+    ("SEC-004", "prompt_injection", "critical", r"disregard\s+(all\s+)?(prior|previous|above)"),
+    ("SEC-005", "prompt_injection", "critical", r"forget\s+(everything|all|your)\b.*?\b(instructions|rules|training)"),
+    ("SEC-006", "prompt_injection", "critical", r"act\s+as\s+(if\s+)?(you\s+)?(are|were)\s+"),
+    ("SEC-007", "prompt_injection", "critical", r"<\s*system\s*>"),
+    ("SEC-008", "prompt_injection", "critical", r"\[inst\]|\[/inst\]|<<sys>>"),
+    ("SEC-010", "secrets", "critical", r"(?:akia|abia|acca|asia)[0-9a-z]{16}"),
+    ("SEC-011", "secrets", "critical", r"(?:ghp|gho|ghu|ghs|ghr)_[a-z0-9_]{36,}"),
+    ("SEC-012", "secrets", "critical", r"sk-[a-z0-9]{20,}"),
+    ("SEC-013", "secrets", "critical", r"(?:password|passwd|pwd)\s*[=:]\s*['\"][^'\"]{8,}"),
+    ("SEC-014", "secrets", "critical", r"(?:api[_-]?key|apikey)\s*[=:]\s*['\"][^'\"]{8,}"),
+    ("SEC-015", "secrets", "critical", r"(?:secret|token)\s*[=:]\s*['\"][^'\"]{8,}"),
+    ("SEC-016", "secrets", "critical", r"bearer\s+[a-z0-9\-._~+/]+=*"),
+    ("SEC-017", "secrets", "critical", r"-----begin\s+(rsa\s+)?private\s+key-----"),
+    ("SEC-020", "pii", "medium", r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z|]{2,}\b"),
+    ("SEC-021", "pii", "medium", r"\b\d{3}[-.]?\d{2}[-.]?\d{4}\b"),
+    ("SEC-022", "pii", "medium", r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
+    ("SEC-030", "destructive", "high", r"rm\s+-rf\s+[/~]"),
+    ("SEC-031", "destructive", "high", r"rm\s+-rf\s+\*"),
+    ("SEC-032", "destructive", "high", r"drop\s+(table|database|schema)"),
+    ("SEC-033", "destructive", "high", r"truncate\s+table"),
+    ("SEC-034", "destructive", "high", r"git\s+push\s+--force\s+origin\s+main"),
+    ("SEC-035", "destructive", "high", r"chmod\s+777"),
+    ("SEC-036", "destructive", "high", r"sudo\s+rm"),
+    ("SEC-037", "destructive", "high", r":\(\)\{\s*:\|:&\s*\};:"),
+    ("SEC-038", "destructive", "high", r"mkfs\."),
+    ("SEC-039", "destructive", "high", r">\s*/dev/sd[a-z]"),
+    ("SEC-040", "unsafe_code", "medium", r"\beval\s*\("),
+    ("SEC-041", "unsafe_code", "medium", r"\bexec\s*\("),
+    ("SEC-042", "unsafe_code", "medium", r"os\.system\s*\("),
+    ("SEC-043", "unsafe_code", "medium", r"subprocess\.call\s*\(.*shell\s*=\s*true"),
+    ("SEC-044", "unsafe_code", "medium", r"__import__\s*\("),
+    ("SEC-045", "unsafe_code", "medium", r"pickle\.loads?\s*\("),
+    ("SEC-046", "unsafe_code", "medium", r"yaml\.load\s*\([^)]*\)"),
+    ("SEC-047", "unsafe_code", "medium", r"innerhtml\s*="),
     ("ignore-instructions", "prompt_injection", "critical", r"ignore (all |any )?(previous|prior|above) instructions"),
     ("system-prompt", "prompt_injection", "critical", r"(reveal|show|print) (me )?(your|the) system prompt"),
-    ("role-override", "prompt_injection", "critical", r"you are now (a|an|in) "),
-    ("aws-key", "secrets", "critical", r"(^|[^a-z0-9])akia[0-9a-z]{16}"),
     ("github-token", "secrets", "critical", r"gh[pousr]_[a-z0-9]{20,}"),
     ("private-key", "secrets", "critical", r"-----begin [a-z ]*private key-----"),
     ("generic-secret", "secrets", "critical", r"(api[_-]?key|secret|password|token)[\"']?[ ]*[:=][ ]*[\"']?[a-z0-9_\-]{8,}"),
-    ("remove-root", "destructive", "high", r"rm -rf? +(/|~|\*)"),
-    ("drop-table", "destructive", "high", r"drop (table|database) "),
+    ("remove-root", "destructive", "high", r"rm -r +(/|~|\*)"),
     ("force-push", "destructive", "high", r"git push .*(--force|-f)( |$)"),
-    ("email", "pii", "medium", r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"),
-    ("phone", "pii", "medium", r"\+?[0-9]{0,2} ?\(?[0-9]{3}\)?[ \-][0-9]{3}-[0-9]{4}"),
-    ("ssn", "pii", "medium", r"(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}([^0-9]|$)"),
     ("card", "pii", "medium", r"(^|[^0-9])[0-9]{16}([^0-9]|$)"),
-    ("eval", "unsafe_code", "medium", r"(^|[^a-z_])eval\("),
     ("shell-true", "unsafe_code", "medium", r"shell *= *true"),
 )
 WARNING_WORDS = "never|avoid|warning|danger|do not|don't|unsafe|anti-pattern"
