@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +161,16 @@ def style_violations(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 #: (topic, words): the first topic with a word in the text wins.
-TOPICS = (("security", "secure|auth|password|token"), ("data", "data|table|record"), ("api", "api|endpoint|request"), ("test", "test|check|assert"))
+TOPICS = (
+    ("auth", "auth|login|jwt|token|session|oauth|permission"),
+    ("database", "db|database|model|schema|migration|query|repository"),
+    ("api", "route|endpoint|controller|handler|middleware|api"),
+    ("config", "config|env|setting|constant"),
+    ("testing", "test|spec|mock|fixture|e2e"),
+    ("ci-cd", "ci|deploy|docker|pipeline|workflow|github"),
+    ("security", "security|encrypt|hash|vulnerability|sanitize"),
+    ("utils", "util|helper|lib|common|shared"),
+)
 
 
 def topics(docs: DataFrame, id_col: str, text_col: str, rules=TOPICS) -> DataFrame:
@@ -183,14 +194,143 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, context: int = 1) ->
     return rows.select("id", "line_number", marker.alias("marker"), text.alias("text"), "context").where((F.col("marker") != "") & (F.length("text") >= 5))
 
 
-#: (fact type, order, pattern with one group): per line the first pattern that matches wins.
-FACT_RULES = (("port", 1, r"port[ =:]+([0-9]{2,5})"), ("version", 2, r"v([0-9]+\.[0-9]+(?:\.[0-9]+)?)"), ("phone", 3, r"(\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4})"), ("email", 4, r"([a-z0-9._]+@[a-z0-9.]+)"), ("number", 5, r"([0-9]{4,})"))
+#: (fact type, programming language or ``*``, pattern): per line the first one that holds for its language and matches wins.
+CODE_FACT_RULES = (
+    ("endpoint", "Go", r'\.(Get|Post|Put|Delete|Patch)\s*\(\s*"(/[^"]*)"'),
+    ("endpoint", "Go", r'\.Handle(?:Func)?\s*\(\s*"(/[^"]*)"'),
+    ("endpoint", "Go", r'(?:http\.Handle|mux\.Handle)\s*\(\s*"(/[^"]*)"'),
+    ("endpoint", "Go", r'\.Handle(?:Func)?\s*\(\s*"((?:GET|POST|PUT|DELETE|PATCH)\s+/[^"]*)"'),
+    ("endpoint", "Go", r'e\.(GET|POST|PUT|DELETE|PATCH)\s*\(\s*"(/[^"]*)"'),
+    ("endpoint", "Python", r"""@(?:app|router|api)\.(get|post|put|delete|patch)\s*\(\s*["\'](/[^"\']*)"""),
+    ("endpoint", "Python", r"""@(?:app|router|api)\.route\s*\(\s*["\'](/[^"\']*)"""),
+    ("endpoint", "Python", r"""path\s*\(\s*["\']([^"\']+)"""),
+    ("endpoint", "TypeScript", r"""\.(get|post|put|delete|patch)\s*\(\s*["\'](/[^"\']*)"""),
+    ("endpoint", "TypeScript", r"""server\.route\s*\(\s*["\'](/[^"\']*)"""),
+    ("endpoint", "JavaScript", r"""\.(get|post|put|delete|patch)\s*\(\s*["\'](/[^"\']*)"""),
+    ("endpoint", "Java", r"""@(Get|Post|Put|Delete|Patch)Mapping\s*\(\s*["\']?(/[^"\')\s]*)"""),
+    ("endpoint", "Java", r"""@RequestMapping\s*\([^)]*value\s*=\s*["\']?(/[^"\')\s]*)"""),
+    ("endpoint", "Rust", r'#\[(get|post|put|delete|patch)\s*\(\s*"(/[^"]*)"'),
+    ("endpoint", "Rust", r'\.route\s*\(\s*"(/[^"]*)"'),
+    ("port", "*", r"""(?:ListenAndServe|listen|EXPOSE)\s*[(]?\s*["\']?[:]?(\d{2,5})"""),
+    ("port", "*", r"""(?:port|PORT)\s*[:=]{1,2}\s*["\']?(\d{2,5})"""),
+    ("port", "*", r"""(?:defaultPort|DEFAULT_PORT)\s*[:=]{1,2}\s*["\']?(\d{2,5})"""),
+    ("version", "*", r"""(?:version|VERSION|Version)\s*[:=]\s*["\']([^"\']+)"""),
+    ("db_table", "*", r"""CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`"\']?(\w+)"""),
+    ("db_table", "Python", r"""__tablename__\s*=\s*["\'](\w+)"""),
+    ("db_table", "Python", r"class\s+\w+.*\bModel\b"),
+    ("db_table", "TypeScript", r"""@Entity\s*\(\s*["\'](\w+)"""),
+    ("db_table", "TypeScript", r"model\s+(\w+)\s*\{"),
+    ("cli_command", "Go", r'Use:\s*"(\w+)"'),
+    ("cli_command", "Go", r'flag\.(?:String|Int|Bool)\w*\s*\(\s*"([^"]+)"'),
+    ("cli_command", "Python", r"""@(?:click\.command|app\.command)\s*\(\s*["\']?(\w*)"""),
+    ("cli_command", "Python", r"""add_parser\s*\(\s*["\'](\w+)"""),
+    ("cli_command", "Python", r"""add_argument\s*\(\s*["\']--([^"\']+)"""),
+    ("cli_command", "TypeScript", r"""\.command\s*\(\s*["\'](\w+)"""),
+    ("env_var", "*", r"""os\.(?:Getenv|LookupEnv)\s*\(\s*["\']([A-Z][A-Z0-9_]+)"""),
+    ("env_var", "*", r"""os\.environ(?:\.get)?\s*[\[(]\s*["\']([A-Z][A-Z0-9_]+)"""),
+    ("env_var", "*", r"process\.env\.([A-Z][A-Z0-9_]+)"),
+    ("env_var", "*", r"""os\.getenv\s*\(\s*["\']([A-Z][A-Z0-9_]+)"""),
+    ("mcp_tool", "Go", r'mcp\.NewTool\s*\(\s*"([^"]+)"'),
+    ("mcp_tool", "Go", r'server\.AddTool\s*\(\s*"([^"]+)"'),
+    ("mcp_tool", "Go", r"tool\.NewTool\s*\("),
+    ("mcp_tool", "Python", r"@mcp\.tool"),
+    ("mcp_tool", "Python", r"server\.add_tool"),
+    ("mcp_tool", "Python", r'Tool\s*\(\s*name\s*=\s*"([^"]+)"'),
+    ("mcp_tool", "TypeScript", r'server\.tool\s*\(\s*"([^"]+)"'),
+    ("mcp_tool", "TypeScript", r"new\s+McpTool\s*\("),
+    ("fts_ddl", "*", r"(?i)CREATE\s+VIRTUAL\s+TABLE\s+(\w+\s+USING\s+fts\d?)"),
+    ("struct_field", "Go", r"^\s+[A-Z]\w+\s+\S+"),
+    ("go_version", "*", r"^go\s+1\.\d+"),
+    ("dedup_mechanism", "*", r"normalized_hash"),
+    ("dedup_mechanism", "*", r"content_hash"),
+    ("dedup_mechanism", "*", r"dedup(?:licate)?"),
+    ("dedup_mechanism", "Go", r"NormalizedHash"),
+    ("dedup_mechanism", "Go", r"ContentHash"),
+    ("dedup_mechanism", "Python", r"unique_together"),
+    ("dedup_mechanism", "Python", r"unique\s*=\s*True"),
+    ("ui_framework", "Go", r"bubbletea"),
+    ("ui_framework", "Go", r"charmbracelet"),
+    ("ui_framework", "Go", r"tview"),
+    ("ui_framework", "Go", r"termui"),
+    ("ui_framework", "Python", r"tkinter"),
+    ("ui_framework", "Python", r"PyQt"),
+    ("ui_framework", "Python", r"streamlit"),
+    ("ui_framework", "Python", r"gradio"),
+    ("ui_framework", "Python", r"\brich\b"),
+    ("ui_framework", "TypeScript", r"\bink\b"),
+    ("ui_framework", "TypeScript", r"blessed"),
+    ("sync_format", "*", r"\.jsonl"),
+    ("sync_format", "*", r"\.ndjson"),
+    ("sync_format", "*", r"jsonlines"),
+    ("sync_format", "*", r"json\s+lines"),
+    ("sync_format", "Go", r"jsonl\.gz"),
+    ("sync_format", "Go", r"gzip.*json"),
+    ("sync_format", "Go", r"json.*gzip"),
+    ("db_engine", "Go", r'"(modernc\.org/sqlite)"'),
+    ("db_engine", "Go", r'"(github\.com/mattn/go-sqlite3)"'),
+    ("db_engine", "Go", r'"(github\.com/lib/pq)"'),
+    ("db_engine", "Go", r'"(github\.com/go-sql-driver/mysql)"'),
+    ("db_engine", "Go", r'"(github\.com/jackc/pgx[^"]*)"'),
+    ("db_engine", "Python", r"^import\s+(sqlite3)"),
+    ("db_engine", "Python", r"^import\s+(psycopg2)"),
+    ("db_engine", "Python", r"^from\s+(psycopg2)"),
+    ("db_engine", "Python", r"^from\s+(sqlalchemy)"),
+    ("db_engine", "Python", r"^import\s+(pymongo)"),
+    ("db_engine", "Python", r"^from\s+(pymongo)"),
+    ("db_engine", "TypeScript", r"""require\s*\(\s*['"](pg)['"]\)"""),
+    ("db_engine", "TypeScript", r"""require\s*\(\s*['"](mysql2)['"]\)"""),
+    ("db_engine", "TypeScript", r"""require\s*\(\s*['"](better-sqlite3)['"]\)"""),
+    ("db_engine", "TypeScript", r"""from\s+['"]((?:@?prisma)[^'"]*)['"']"""),
+    ("db_engine", "TypeScript", r"""from\s+['"](drizzle-orm)['"']"""),
+    ("db_engine", "JavaScript", r"""require\s*\(\s*['"](pg)['"]\)"""),
+    ("db_engine", "JavaScript", r"""require\s*\(\s*['"](mysql2)['"]\)"""),
+    ("db_engine", "JavaScript", r"""require\s*\(\s*['"](better-sqlite3)['"]\)"""),
+    ("db_engine", "JavaScript", r"""from\s+['"]((?:@?prisma)[^'"]*)['"']"""),
+    ("db_engine", "JavaScript", r"""from\s+['"](drizzle-orm)['"']"""),
+)
+#: (fact type, order, pattern with one group): the rules of all languages, for texts of none, and three of our own after them.
+FACT_RULES = (
+    ("port", 1, r"(?:ListenAndServe|listen|EXPOSE)\s*[(]?\s*[\"\x27]?[:]?(\d{2,5})"),
+    ("port", 2, r"(?:port|PORT)\s*[:=]{1,2}\s*[\"\x27]?(\d{2,5})"),
+    ("port", 3, r"(?:defaultPort|DEFAULT_PORT)\s*[:=]{1,2}\s*[\"\x27]?(\d{2,5})"),
+    ("version", 4, r"(?:version|VERSION|Version)\s*[:=]\s*[\"\x27]\s*([^\"\x27\s](?:[^\"\x27]*[^\"\x27\s])?)"),
+    ("db_table", 5, r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\x27]?(\w+)"),
+    ("env_var", 6, r"os\.(?:Getenv|LookupEnv)\s*\(\s*[\"\x27]([A-Z][A-Z0-9_]+)"),
+    ("env_var", 7, r"os\.environ(?:\.get)?\s*[\[(]\s*[\"\x27]([A-Z][A-Z0-9_]+)"),
+    ("env_var", 8, r"process\.env\.([A-Z][A-Z0-9_]+)"),
+    ("env_var", 9, r"os\.getenv\s*\(\s*[\"\x27]([A-Z][A-Z0-9_]+)"),
+    ("fts_ddl", 10, r"(?i)CREATE\s+VIRTUAL\s+TABLE\s+(\w+\s+USING\s+fts\d?)"),
+    ("go_version", 11, r"^(go\s+1\.\d+(?:.*\S)?)"),
+    ("dedup_mechanism", 12, r"^\s*((?:\S.*)?(?:normalized_hash|content_hash|dedup)(?:.*\S)?)"),
+    ("sync_format", 13, r"^\s*((?:\S.*)?(?:\.jsonl|\.ndjson|jsonlines|json\s+lines)(?:.*\S)?)"),
+    ("phone", 14, r"(\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4})"),
+    ("email", 15, r"([a-z0-9._]+@[a-z0-9.]+)"),
+    ("number", 16, r"([0-9]{4,})"),
+)
 
 
-def facts(docs: DataFrame, id_col: str, text_col: str, rules=FACT_RULES) -> DataFrame:
-    """(fact_type, value, first_id, first_line): per line the first rule that matches, distinct values at their first place."""
-    rows = lines(docs, id_col, text_col)
-    one = F.coalesce(*(F.when(F.col("line").rlike(p), F.struct(F.lit(k).alias("fact_type"), F.regexp_extract("line", p, 1).alias("value"))) for k, _, p in sorted(rules, key=lambda r: r[1])))
+def _fact_value(pattern: str) -> Column:
+    """The method in capitals and the path of two groups, one group, or the whole line, without outer space."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    groups = re.compile(pattern).groups
+    if groups > 1:
+        return F.concat(F.upper(F.regexp_extract("line", pattern, 1)), F.lit(" "), bare(F.regexp_extract("line", pattern, 2)))
+    return bare(F.regexp_extract("line", pattern, 1) if groups else F.col("line"))
+
+
+def facts(docs: DataFrame, id_col: str, text_col: str, rules=FACT_RULES, language_col: str | None = None) -> DataFrame:
+    """(fact_type, value, first_id, first_line): per line the first rule that matches, distinct values at their first place.
+
+    With ``language_col``, the programming language of each text, the ``CODE_FACT_RULES`` of all languages and of its own hold instead of ``rules``.
+    """
+    if language_col is None:
+        rows = lines(docs, id_col, text_col)
+        tests = [(k, p, F.lit(True)) for k, _, p in sorted(rules, key=lambda r: r[1])]
+    else:
+        rows = lines(docs.select(F.struct(F.col(id_col).alias("id"), F.col(language_col).alias("language")).alias("id"), F.col(text_col).alias("t")), "id", "t")
+        rows = rows.select(F.col("id.id").alias("id"), F.col("id.language").alias("language"), "line_number", "line")
+        tests = [(k, p, F.lit(True) if of == "*" else F.col("language") == of) for k, of, p in CODE_FACT_RULES]
+    one = F.coalesce(*(F.when(holds & F.col("line").rlike(p), F.struct(F.lit(k).alias("fact_type"), _fact_value(p).alias("value"))) for k, p, holds in tests))
     rows = rows.select("id", "line_number", one.alias("f")).where("f is not null")
     return rows.groupBy("f.fact_type", "f.value").agg(F.min(F.struct("id", "line_number")).alias("x")).select("fact_type", "value", F.col("x.id").alias("first_id"), F.col("x.line_number").alias("first_line"))
 

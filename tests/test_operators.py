@@ -74,6 +74,27 @@ def test_every_security_rule_finds_its_line(spark):
     assert failed == {k for k in SECURITY_LINES if k < 20 or 30 <= k < 40}
 
 
+def test_facts_of_all_types(spark):
+    code = [
+        ("Go", 'r.Get("/health", h)', "endpoint", "GET /health"), ("Python", "@app.route('/x')", "endpoint", "/x"), ("Go", 'http.ListenAndServe(":7437", nil)', "port", "7437"), ("Go", 'Version = " 1.2 "', "version", "1.2"),
+        ("Python", "__tablename__ = 'users'", "db_table", "users"), ("Go", 'Use: "serve",', "cli_command", "serve"), ("Java", "process.env.HOME_DIR", "env_var", "HOME_DIR"), ("Go", 'mcp.NewTool("find")', "mcp_tool", "find"),
+        ("Go", "create virtual table d using FTS5", "fts_ddl", "d using FTS5"), ("Go", "  Name string", "struct_field", "Name string"), ("Go", "go 1.22", "go_version", "go 1.22"), ("Rust", " let content_hash = 1; ", "dedup_mechanism", "let content_hash = 1;"),
+        ("Python", "import rich", "ui_framework", "import rich"), ("Rust", "write a.jsonl", "sync_format", "write a.jsonl"), ("JavaScript", "require('pg')", "db_engine", "pg"), ("Rust", "import rich", None, None),
+    ]
+    docs = spark.createDataFrame([(i, x[0], x[1]) for i, x in enumerate(code)], "i long, l string, t string")
+    want = sorted((x[2], x[3], i) for i, x in enumerate(code) if x[2])
+    assert rows(textscan.facts(docs, "i", "t", language_col="l"), "fact_type", "value", "first_id") == want
+    assert len({x[0] for x in want}) == 14
+    plain = {"port", "version", "env_var", "fts_ddl", "go_version", "dedup_mechanism", "sync_format"}
+    found = rows(textscan.facts(docs, "i", "t"), "fact_type", "value", "first_id")
+    assert [x for x in found if x[0] in plain] == [x for x in want if x[0] in plain]
+
+
+def test_topics_of_the_original(spark):
+    data = [("jwt", "auth"), ("schema", "database"), ("route", "api"), ("setting", "config"), ("mock", "testing"), ("docker", "ci-cd"), ("encrypt", "security"), ("helper", "utils"), ("xyz", "general")]
+    assert rows(textscan.topics(spark.createDataFrame(data, "t string, want string"), "want", "t"), "id", "topic") == sorted((w, w) for _, w in data)
+
+
 def test_first_fit_skips_what_does_not_fit(spark):
     items = spark.createDataFrame([("g", i, t) for i, t in enumerate((4, 9, 3, 3, 1))], "g string, i long, t long")
     assert rows(sequence.first_fit(items, "g", ["i"], "t", "i", 10), "i", "used_tokens") == [(0, 4), (2, 7), (3, 10)]
