@@ -19,8 +19,12 @@ sum per document. The ``HOT`` n-grams most frequent in training are broadcast (o
 size) and summed in place; of the others, only those that pass a Bloom filter of fixed
 size are dealt out and joined by shard.
 
-Thresholds are quantiles of the perplexity of held-out trusted texts per language;
-languages with fewer than ``MIN_HELD_OUT`` of them use that of all. Texts without
+Thresholds are quantiles of the perplexity of held-out trusted texts per language, at
+every size: a language's own mean log perplexity, and above it a quantile of what its
+held-out texts differ from the mean. Few texts say little of a high quantile, so that
+leans on the one of all languages (each text against its own language's mean) with the
+weight of ``PRIOR`` texts. Only a language without held-out trusted text has nothing
+of its own and uses the quantile of all. Texts without
 words have no perplexity and are not kept; a null language is a language of its own.
 Without trusted text nothing is judged and all texts with words are kept.
 """
@@ -43,7 +47,7 @@ HOT = 1 << 20
 #: Bits of the Bloom filter; fixed, whatever the model's size.
 FILTER_BITS = 26
 QUANTILE = 0.995
-MIN_HELD_OUT = 20
+PRIOR = 20
 #: Up to so many trusted ids are broadcast; more meet their texts in one shuffle.
 FEW_LABELS = 1 << 20
 #: One of so many trusted texts is held out for thresholds.
@@ -282,10 +286,16 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return docs.select("doc_id", n.alias("n_words"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (n > 0).alias("kept"))
     scored = settle(perplexities(docs.select("row", "doc_id", "t", "lang", "held"), model), "perplexities")
     known = scored.where("held and perplexity is not null")
-    q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    overall = known.agg(q).first()[0]
-    each = known.groupBy("lang").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_HELD_OUT).select(F.col("lang").alias("l"), "q")
-    found = scored.join(each, F.col("lang").eqNullSafe(F.col("l")), "left")
+    overall = known.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))).first()[0]
+    log_p = known.select(F.col("lang").alias("l"), F.log("perplexity").alias("x"))
+    means = log_p.groupBy("l").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+    # One row per language.
+    off = log_p.join(F.broadcast(means.withColumnRenamed("l", "of")), F.col("l").eqNullSafe(F.col("of"))).select("l", "mean", "n", (F.col("x") - F.col("mean")).alias("off"))
+    q = F.percentile_approx("off", F.lit(quantile), F.lit(10_000))
+    shared = off.agg(q).first()[0]
+    each = off.groupBy("l").agg(((F.first("n") * q + PRIOR * F.lit(shared).cast("double")) / (F.first("n") + PRIOR) + F.first("mean")).alias("q"))
+    each = each.select("l", F.exp("q").alias("q"))
+    found = scored.join(F.broadcast(each), F.col("lang").eqNullSafe(F.col("l")), "left")
     limit = F.coalesce("q", F.lit(overall).cast("double"))
     kept = F.coalesce((F.col("perplexity") <= limit) | (limit.isNull() & F.col("perplexity").isNotNull()), F.lit(False))
     return found.select("doc_id", "n_words", "perplexity", limit.alias("threshold"), kept.alias("kept"))

@@ -464,3 +464,19 @@ def test_every_trusted_word_has_its_own_counts_and_unknown_words_cost(spark):
     many = [" ".join(["the", *rnd.sample(words, 60)]) for _ in range(400)]
     seen, junk = score([" ".join(rnd.sample(words, 60)), " ".join(f"x{i}" for i in range(60))], quality_lm.train(spark.createDataFrame([(t,) for t in many], "text string")))
     assert junk > 3 * seen
+
+
+def test_small_languages_have_their_own_threshold(spark):
+    """Four languages, two of them with few trusted texts and one without any."""
+    rnd, data = random.Random(10), []
+    for lang, n, size in (("en", 400, 30), ("fr", 60, 3000), ("de", 40, 30), ("it", 0, 30)):
+        data += [(len(data) + i, " ".join(f"{lang}{rnd.randrange(size)}" for _ in range(50)), lang) for i in range(n + 5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    trusted = docs.where("lang <> 'it'").select("doc_id", F.lit(1).alias("quality"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % quality_lm.HOLD_OUT == 0
+    few = {r[0]: r[1] for r in docs.where(held).groupBy("lang").count().collect()}
+    assert 0 < few["fr"] < 20 and 0 < few["de"] < 20
+    judged = quality_lm.judge(docs, trusted).join(docs, "doc_id")
+    limits = {r[0]: r[1] for r in judged.groupBy("lang").agg(F.first("threshold")).collect()}
+    assert len({limits[x] for x in ("en", "fr", "de")}) == 3 and limits["fr"] > 5 * limits["en"] and limits["de"] < 5 * limits["en"]
+    assert limits["it"] not in {limits[x] for x in ("en", "fr", "de")}
