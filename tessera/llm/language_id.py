@@ -10,10 +10,11 @@ at its length: cosines are compared as shares of the usual cosine of texts with
 grams. Few labelled texts say little of a low quantile, so it leans on that of all
 languages with the weight of ``PRIOR`` texts.
 
-Bounds: at most ``MAX_LANGUAGES`` languages (the most frequent), about
-``SAMPLE`` texts in all, picked by a hash of their ``doc_id``; the sample is
-counted on the executors and only vectors of at most ``DIMS`` entries come to the
-driver. The model is ``MAX_LANGUAGES * CENTROIDS * DIMS`` floats at most.
+Every labelled language is learned. The texts per language are bounded: about ``SAMPLE``
+texts in all but ``LEAST`` per language where there are more languages than that allows,
+picked by a hash of their ``doc_id``. The sample is counted on the executors, only packed
+vectors of at most ``DIMS`` entries come to the driver, and it holds the dense matrix of
+one language at a time. The model is ``CENTROIDS * DIMS`` floats per language.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. With
 nothing to learn from every text is ``und``. Only the text decides a prediction.
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from tessera.llm.lexer import text_parts
 
 DIMS = 1 << 13
-MAX_LANGUAGES = 64
 SAMPLE = 2048
+LEAST = 32
 CENTROIDS = 4
 PRIOR = 100
+#: Centroids scored at once.
+BLOCK = 512
 #: Documents whose crc32 leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 4, 2
 
@@ -115,14 +118,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The model as plain arrays: ``langs``, ``idf``, ``centroids``, ``owner``, and ``floor`` as shares of ``usual``."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold, F.lit(0)) != HELD_OUT)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("l").count().collect()
     empty = {"langs": [], "idf": np.ones(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "owner": np.zeros(0, int), "floor": np.zeros(0, np.float32), "usual": _usual(np.zeros(0), np.zeros(0))}
     if not counts:
         return empty
-    each = sample // len(counts)
-    share = F.create_map(*[F.lit(x) for l, n in counts for x in (l, min(1.0, each / n))])
+    each = max(sample // len(counts), LEAST)
+    # One row per language.
+    share = docs.sparkSession.createDataFrame([(l, min(1.0, each / n)) for l, n in counts], "sl string, share double")
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("i")), F.lit(1_000_003)) / 1_000_003
-    rows = known.where(F.col("l").isin([l for l, _ in counts]) & (u < F.element_at(share, F.col("l")))).select("l", "t").mapInArrow(_sampled, "lang string, idx binary, val binary").collect()
+    rows = known.join(F.broadcast(share), F.col("l") == F.col("sl")).where(u < F.col("share")).select("l", "t").mapInArrow(_sampled, "lang string, idx binary, val binary").collect()
     rows = [r for r in rows if r["idx"]]
     if not rows:
         return empty
@@ -130,17 +134,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = [np.frombuffer(r["val"], np.float32) for r in rows]
     df = np.bincount(np.concatenate(cells), minlength=DIMS)
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
-    v = np.zeros((len(rows), DIMS), np.float32)
-    for i, (c, n) in enumerate(zip(cells, counts, strict=True)):
-        x = np.log1p(n) * idf[c]
-        v[i, c] = x / np.linalg.norm(x)
     of, grams = np.array([r["lang"] for r in rows]), np.array([n.sum() for n in counts])
     langs = sorted({r["lang"] for r in rows})
-    made = [_centroids(v[of == l], centroids, seed) for l in langs]
-    long = grams >= min_grams
-    cos = np.zeros(len(rows))
-    for l, c in zip(langs, made, strict=True):
-        cos[of == l] = (v[of == l] @ c.T).max(1)
+    long, cos, made = grams >= min_grams, np.zeros(len(rows)), []
+    members = {l: [] for l in langs}
+    for i, r in enumerate(rows):
+        members[r["lang"]].append(i)
+    for l in langs:
+        v = np.zeros((len(members[l]), DIMS), np.float32)
+        for j, i in enumerate(members[l]):
+            x = np.log1p(counts[i]) * idf[cells[i]]
+            v[j, cells[i]] = x / np.linalg.norm(x)
+        made.append(_centroids(v, centroids, seed).astype(np.float32))
+        cos[members[l]] = (v @ made[-1].T).max(1)
     usual = _usual(grams[long], cos[long])
     share = cos / _expected(grams, usual)
     all_low = float(np.quantile(share[long], reject_quantile)) if long.any() else 0.0
@@ -149,14 +155,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         own = share[long & (of == l)]
         low = float(np.quantile(own, reject_quantile)) if len(own) else all_low
         floor.append(reject_share * (len(own) * low + PRIOR * all_low) / (len(own) + PRIOR))
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(made).astype(np.float32), "owner": np.repeat(np.arange(len(langs)), [len(c) for c in made]), "floor": np.array(floor, np.float32), "usual": usual, "min_grams": min_grams}
+    return {"langs": langs, "idf": idf, "centroids": np.concatenate(made), "owner": np.repeat(np.arange(len(langs)), [len(c) for c in made]), "floor": np.array(floor, np.float32), "usual": usual, "min_grams": min_grams}
 
 
 def _predicted(model):
     def run(batches):
         m = model.value
         langs, n_langs = m["langs"], len(m["langs"])
-        base = m["centroids"].T.astype(np.float32)
+        centroids = m["centroids"]
         for batch in batches:
             pred, score, rejected = [], [], []
             letters = batch.column(2).to_pylist()
@@ -167,9 +173,13 @@ def _predicted(model):
                     row = np.repeat(np.arange(b - a), np.diff(at[a : b + 1])) * DIMS
                     tf = np.bincount(row + cells[at[a] : at[b]], minlength=(b - a) * DIMS).reshape(b - a, DIMS).astype(np.float32)
                     if n_langs:
-                        cos = np.clip(_weigh(tf, m["idf"]).astype(np.float32) @ base, 0, 1)
-                        best = cos.argmax(1)
-                        top, owner, grams = cos[np.arange(b - a), best], m["owner"][best], tf.sum(1)
+                        vec, best, top = _weigh(tf, m["idf"]).astype(np.float32), np.zeros(b - a, int), np.full(b - a, -1, np.float32)
+                        for k in range(0, len(centroids), BLOCK):
+                            cos = np.clip(vec @ centroids[k : k + BLOCK].T, 0, 1)
+                            here = cos.argmax(1)
+                            value = cos[np.arange(b - a), here]
+                            best, top = np.where(value > top, here + k, best), np.maximum(top, value)
+                        owner, grams = m["owner"][best], tf.sum(1)
                         far = (grams >= m["min_grams"]) & (top < m["floor"][owner] * _expected(grams, m["usual"]))
                     for j in range(b - a):
                         if not letters[lo + a + j] or not n_langs:

@@ -305,6 +305,18 @@ def test_foreign_and_random_texts_are_rejected_and_clean_ones_are_not(spark):
     assert language_id.identify(clean, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.01
 
 
+def test_every_labelled_language_is_learned(spark):
+    rnd = random.Random(11)
+    data = []
+    for k in range(80):
+        words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(8)]
+        data += [(f"l{k}", " ".join(rnd.choices(words, k=30))) for _ in range(16)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "doc_id long, lang string, text string")
+    model = language_id.fit(docs)
+    found = language_id.identify(docs, model, payload=("lang",)).toPandas()
+    assert len(model["langs"]) == 80 and (found.lang_pred == found.p_0).mean() > 0.98 and found.rejected.mean() < 0.01
+
+
 # Pages
 
 
