@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.lexer import text_parts
 
-DIMS = 1 << 13
-SAMPLE = 2048
+DIMS = 1 << 14
+SAMPLE = 4096
 LEAST = 32
 CENTROIDS = 4
 PRIOR = 100
@@ -58,8 +58,8 @@ def gram_cells(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     two = x[:-1] << 8 | x[1:]
     three = two[:-1] << 8 | x[2:]
     cells = np.empty((len(three), 2), np.uint32)
-    cells[:, 0] = two[:-1] * np.uint32(0x9E3779B1) >> np.uint32(19)
-    cells[:, 1] = (three ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) >> np.uint32(19)
+    cells[:, 0] = two[:-1] * np.uint32(0x9E3779B1) >> np.uint32(18)
+    cells[:, 1] = (three ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) >> np.uint32(18)
     # Grams that reach over a space belong to no word; their cell is given to the gram of the space alone.
     over = (x[1:-1] == 32) & (x[:-2] != 32)
     cells[over, 1] = cells[over, 0]

@@ -305,6 +305,12 @@ def test_foreign_and_random_texts_are_rejected_and_clean_ones_are_not(spark):
     assert language_id.identify(clean, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.01
 
 
+def test_grams_reach_all_cells():
+    text = "".join(random.Random(12).choices("abcdefghijklmnopqrstuvwxyz", k=200_000)).encode()
+    cells, _ = language_id.gram_cells(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert language_id.DIMS == 1 << 14 and language_id.DIMS // 2 < len(np.unique(cells)) and cells.max() < language_id.DIMS
+
+
 def test_every_labelled_language_is_learned(spark):
     rnd = random.Random(11)
     data = []
