@@ -10,13 +10,19 @@ of their weighted Jaccard similarity. A document of weight W only looks at ranks
 to about k ln k / W, so the work grows with W + k ln k and not with W * k.
 
 Documents equal as bags collapse to one node first. Nodes that agree in a band meet
-through that band's leaders (its smallest and largest node and the one of smallest
-hash), so a bucket of n nodes gives at most 3 n pairs. Pairs are checked exactly. The
-first round checks the smallest leaders; the second checks the others where the
-first has left two nodes in different components. Buckets that still hold several
-components go on: each round takes eight times as many further leaders, until every bucket is
-of one component or all its nodes have led. So each two nodes of a common band are
-either checked or known to be in one class. Components of checked links are the classes.
+through that band's leader: the node whose buckets hold the most nodes, so the one in
+the middle of its copies. A bucket of n nodes gives n - 1 pairs, and most buckets of a
+node name the same leader. Pairs are checked exactly; components of links are classes.
+
+Buckets that still hold several classes may hide links between nodes that no leader
+resembles. Their nodes are joined by rare elements: in one order of all elements, by how
+many of these nodes hold them, two bags can only be similar if they meet in one of
+their first elements, and at places that leave enough elements for the overlap. Only
+rows of different classes whose sizes and places allow a similarity above the threshold
+make a pair; rows of the largest class of an element do not meet each other. This
+filter loses no link, whatever the order is. The pairs are checked exactly, and their
+links merge classes. So each two nodes of a common band are checked, known to be in one
+class, or known to be unlike.
 
 Texts of fewer than five words are one run; texts without words are never similar to
 anything and form a class each. Rows of one ``doc_id`` count as documents of their
@@ -40,8 +46,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
-#: Further leaders of a mixed bucket that are checked in one round; few buckets hold more nodes.
-ROUND = 32
 #: The first cells end at these ranks; later ones have the longest length.
 FIRST_CELL = 2.0**-12
 LAST_CELL = 8.0
@@ -163,63 +167,95 @@ def _signed(shingle: int, bands: int, rows: int):
 
 def _shingled(shingle: int):
     def run(batches):
-        lexer, last = alnum_lexer(), None
+        lexer, seen = alnum_lexer(), set()
         for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            new = []
+            for i, node in enumerate(nodes):
+                if node not in seen:
+                    seen.add(node)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             for lo, hi, data, offs in text_parts(batch.column(1)):
                 _, _, h, woff = lexer.words(data, offs)
-                el, of, weight = elements_of(h, woff, shingle)
-                nodes = batch.column(0).slice(lo, hi - lo).to_numpy()
+                el, _, weight = elements_of(h, woff, shingle)
                 at = np.r_[0, np.cumsum(weight)]
-                sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((el >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                new = np.r_[nodes[0] != last, nodes[1:] != nodes[:-1]]
-                last = nodes[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), sets], ["node", "s"]).filter(pa.array(new))
+                sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(el.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["node", "s"])
 
     return run
 
 
+def _sets(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): the elements of each node of ``named`` (node, id, th); one row per node."""
+    texts = docs.join(named, docs["id"].eqNullSafe(named["id"]) & (docs["th"] == named["th"])).select("node", "text")
+    sets = settle(texts.mapInArrow(_shingled(shingle), "node long, s array<long>"), "sets")
+    # A row that repeats another in id and text gives its node again in another task.
+    again = sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    return sets if again.isEmpty() else settle(sets.dropDuplicates(["node"]), "sets")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags are similar, checked exactly on 32-bit names of the units of weight."""
+    """The pairs (a, b) whose bags are similar, checked exactly on 64-bit names of the units of weight."""
     both = pairs.join(sets.selectExpr("node as a", "s as sa"), "a").join(sets.selectExpr("node as b", "s as sb"), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     return both.where(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """The members of buckets that hold nodes of several components, with the component ``c`` of each."""
-    named = members.drop("c").join(comp.selectExpr("node as row", "comp as c"), "row", "left").withColumn("c", F.coalesce("c", "row"))
+def _central(shared: DataFrame) -> DataFrame:
+    """(bh, l, wl): the leader of each bucket is the node whose buckets hold the most nodes."""
+    score = settle(shared.groupBy("row").agg(F.sum("n").alias("score")), "scores")
+    place = F.struct("score", F.xxhash64("row"), "row", "w")
+    best = shared.join(score, "row").groupBy("bh").agg(F.max(place).alias("x"))
+    return settle(best.select("bh", F.col("x.row").alias("l"), F.col("x.w").alias("wl")), "leaders")
+
+
+def _open(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, c): the nodes of buckets that hold several classes, and their classes."""
+    named = shared.select("row", "bh").join(comp.selectExpr("node as row", "comp as c"), "row", "left").withColumn("c", F.coalesce("c", "row"))
     named = settle(named, "named")
-    mixed = named.groupBy("bh").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("bh")
-    return settle(named.join(settle(mixed, "mixed"), "bh", "left_semi"), "open")
+    mixed = settle(named.groupBy("bh").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("bh"), "mixed")
+    return settle(named.join(mixed, "bh", "left_semi").selectExpr("row as node", "c").distinct(), "open")
 
 
-def _finish(members: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Components with the links that no leader has met.
+def _candidates(sets: DataFrame, among: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair of nodes of ``among`` (node, c) in different classes that may be similar.
 
-    ``members``: (row, bh, w, u), where ``u`` is a node's hashed place in its bucket, from 0 to
-    the bucket's size. A round's leaders are those of the next places, and meet the members of
-    later places and other components; then they leave.
+    ``upto`` is the most elements the other bag may have if this element is the first that
+    both hold: the overlap can't exceed what is left here, w - place.
     """
-    upto = ROUND
-    while True:
-        members = _open(members, comp)
-        if members.isEmpty():
-            return comp
-        lead = members.where(F.col("u") < upto).selectExpr("bh", "row as a", "w as wa", "c as ca", "u as ua")
-        later = (F.col("u") > F.col("ua")) | ((F.col("u") == F.col("ua")) & (F.col("row") > F.col("a")))
-        alike = F.least("w", "wa") >= threshold * F.greatest("w", "wa")
-        met = members.join(lead, "bh").where(later & (F.col("c") != F.col("ca")) & alike)
-        links = settle(_links(met.selectExpr("a", "row as b").distinct(), sets, threshold), "links3")
-        if not links.isEmpty():
-            comp = settle(components(comp.selectExpr("node as a", "comp as b").unionByName(links)), "comp3")
-        members = members.where(F.col("u") >= upto)
-        upto *= 8
+    units = sets.join(among.select("node"), "node", "left_semi").select("node", F.explode("s").alias("e"))
+    # Elements of one node have the first places of its order; their number is all that counts.
+    often = settle(units.groupBy("e").agg(F.count("*").cast("int").alias("n")).where("n > 1"), "often")
+    order = units.join(often, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"))
+    size = sets.select("node", F.size("s").alias("w"))
+    first = order.join(size, "node").withColumn("left", F.col("w") - F.ceil(threshold * F.col("w") - 1e-9) + 1 - (F.col("w") - F.size("es")))
+    first = first.where("left > 0").select("node", "w", F.size("es").alias("m"), F.posexplode(F.slice("es", 1, F.col("left").cast("int"))).alias("k", "x"))
+    upto = F.least((F.col("m") - F.col("k")) * ((1 + threshold) / threshold) - F.col("w"), F.col("w") / threshold) + 1e-9
+    first = settle(first.select("node", "w", F.col("x.e").alias("e"), upto.alias("upto")).join(among, "node"), "first")
+
+    each = first.groupBy("e", "c").agg(F.count("*").alias("n"))
+    largest = each.groupBy("e").agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("classes")).where("classes > 1")
+    largest = settle(largest.select("e", F.col("x.c").alias("most")), "largest")
+    first = settle(first.join(largest, "e").select("e", "node", "w", "upto", "c", (F.col("c") != F.col("most")).alias("minor")), "mixed")
+    small = first.where("upto >= w").selectExpr("e", "node as a", "w as wa", "upto as ua", "c as ca", "minor as ma")
+    large = first.selectExpr("e", "node as b", "w as wb", "upto as ub", "c as cb", "minor as mb")
+    fits = F.expr("ca <> cb and (wa < wb or wa = wb and a < b) and wb <= ua and wa <= ub")
+    met = small.where("ma").join(large, "e").where(fits).select("a", "b")
+    met = met.unionByName(small.where("not ma").join(large.where("mb"), "e").where(fits).select("a", "b"))
+    return settle(met.distinct(), "candidates")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept``; ``class_id`` is the smallest ``doc_id`` of the class."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    out = near_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), threshold, shingle, bands, rows)
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
+def near_rows(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs``: (id, text). One row each: ``id, th, class_id, class_size, kept``; ``th`` is the text's ``xxhash64``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("id", F.xxhash64(text).alias("th"), text.alias("text"))
     signed = docs.select(F.monotonically_increasing_id().alias("row"), "id", "th", "text").mapInArrow(_signed(shingle, bands, rows), "row long, id long, th long, w long, d1 long, d2 long, bands array<long>")
     # Texts without words are told apart by their row.
     signed = settle(signed.withColumn("d2", F.expr("if(w = 0, row, d2)")), "signatures")
@@ -229,34 +265,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = signed.where("w > 0").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
 
     each = reps.select("row", "w", F.explode("bands").alias("bh"))
-    leader = each.groupBy("bh").agg(F.count("*").alias("n"), F.min("row").alias("l1"), F.max("row").alias("l2"), F.min_by("row", F.xxhash64("row")).alias("l3")).where("n > 1")
-    leader = settle(leader, "leaders")
-    shared = settle(each.join(leader, "bh"), "shared")
-    met = shared.select("row", F.explode(F.array("l1", "l2", "l3")).alias("l"), "l1").where("l <> row")
-    pairs = met.selectExpr("least(row, l) as a", "greatest(row, l) as b", "l = l1 as first").groupBy("a", "b").agg(F.max("first").alias("first"))
-    size = signed.select("row", "w")
-    pairs = pairs.join(size.withColumnRenamed("row", "a").withColumnRenamed("w", "wa"), "a").join(size.withColumnRenamed("row", "b").withColumnRenamed("w", "wb"), "b")
-    pairs = settle(pairs.where(F.least("wa", "wb") >= threshold * F.greatest("wa", "wb")).select("a", "b", "first"), "pairs")
-
-    # Nodes that have not led, in buckets of two and more of them.
-    place = F.expr("n * (pmod(xxhash64(row, bh), 1073741824) / 1073741824.0D)")
-    members = shared.where("n > 4 or n = 4 and l3 in (l1, l2)").where("row not in (l1, l2, l3)").select("row", "bh", "w", place.alias("u"))
-
-    some = pairs.select(F.explode(F.array("a", "b")).alias("row")).union(members.select("row")).distinct().join(signed.select("row", "id", "th"), "row").withColumnRenamed("row", "node")
-    texts = docs.join(some, docs["id"].eqNullSafe(some["id"]) & (docs["th"] == some["th"])).select("node", "text")
-    sets = settle(texts.mapInArrow(_shingled(shingle), "node long, s array<int>"), "sets")
-    links = settle(_links(pairs.where("first").select("a", "b"), sets, threshold), "links1")
-    comp = settle(components(links), "comp1")
-    of = lambda x: F.coalesce(f"c{x}", x)
-    rest = pairs.where("not first").join(comp.selectExpr("node as a", "comp as ca"), "a", "left").join(comp.selectExpr("node as b", "comp as cb"), "b", "left").where(of("a") != of("b")).select("a", "b")
-    more = settle(_links(rest, sets, threshold), "links2")
+    crowds = settle(each.groupBy("bh").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    shared = settle(each.join(crowds, "bh"), "shared")
+    leader = _central(shared)
+    alike = F.least("w", "wl") >= threshold * F.greatest("w", "wl")
+    pairs = settle(shared.join(leader, "bh").where((F.col("row") != F.col("l")) & alike).selectExpr("row as a", "l as b").distinct(), "pairs")
+
+    met = shared.select("row").distinct().join(signed.select("row", "id", "th"), "row").withColumnRenamed("row", "node")
+    sets = _sets(docs, settle(met, "met"), shingle)
+    comp = settle(components(settle(_links(pairs, sets, threshold), "links")), "classes")
+    more = settle(_links(_candidates(sets, _open(shared, comp), threshold), sets, threshold), "links")
     if not more.isEmpty():
-        comp = settle(components(comp.selectExpr("node as a", "comp as b").unionByName(more)), "comp2")
-    comp = _finish(members, comp, sets, threshold)
+        comp = settle(components(comp.selectExpr("node as a", "comp as b").unionByName(more)), "classes")
 
-    of_row = signed.select("row", "id", *dig).join(nodes, dig).select("row", "id", "node")
-    of_row = of_row.join(comp, "node", "left").select("row", "id", F.coalesce("comp", "node").alias("comp"))
+    of_row = signed.select("row", "id", "th", *dig).join(nodes, dig).select("row", "id", "th", "node")
+    of_row = of_row.join(comp, "node", "left").select("row", "id", "th", F.coalesce("comp", "node").alias("comp"))
     of_row = settle(of_row, "classes")
     best = of_row.groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
     best = settle(best, "best")
-    return of_row.join(best, "comp").select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"))
+    return of_row.join(best, "comp").select("id", "th", "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"))

@@ -154,8 +154,7 @@ def test_near_groups_are_the_components_of_brute_force(spark):
     assert near(spark, texts) == brute_near(texts)
 
 
-@pytest.mark.parametrize("first", [3, 32])
-def test_near_links_among_nodes_that_no_leader_resembles(spark, monkeypatch, first):
+def test_near_links_among_nodes_that_no_leader_resembles(spark):
     """Families share half of their runs, so every bucket of one row mixes them."""
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
@@ -169,10 +168,51 @@ def test_near_links_among_nodes_that_no_leader_resembles(spark, monkeypatch, fir
     rnd.shuffle(texts)
     want = brute_near(texts)
     assert 10 < len(set(want.values())) < len(texts)
-    monkeypatch.setattr(near_dedup, "ROUND", first)
     assert near(spark, texts, bands=3, rows=1) == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_candidates_hold_every_similar_pair_of_two_classes(spark, seed):
+    """Sets of all sizes over few elements, some of them held by nearly every node."""
+    rnd = random.Random(seed)
+    texts = []
+    for _ in range(60):
+        base = set(rnd.sample(range(60), rnd.randint(1, 40)))
+        texts += [base ^ set(rnd.sample(range(60), rnd.randint(0, 4))) or {1} for _ in range(rnd.randint(1, 3))]
+    sets = spark.createDataFrame([(i, sorted(t)) for i, t in enumerate(texts)], "node long, s array<long>")
+    among = [(i, rnd.randrange(30) if i % 3 else 7) for i in range(len(texts))]
+    met = {(r.a, r.b) for r in near_dedup._candidates(sets, spark.createDataFrame(among, "node long, c long"), 0.8).collect()}
+    met |= {(b, a) for a, b in met}
+    for (i, x), (j, y) in itertools.combinations(enumerate(texts), 2):
+        if len(x & y) >= 0.8 * len(x | y) and among[i][1] != among[j][1]:
+            assert (i, j) in met
+    assert len(met) < len(texts) ** 2 / 4
+
+
+def test_near_recall_against_all_pairs_of_a_table(spark):
+    """Every document of the table against all others: at least 0.9 of the links join one class (measured: all)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = dict(docs.collect())
+    bags = {i: bag(t) for i, t in texts.items()}
+    holders = collections.defaultdict(list)
+    for i, b in bags.items():
+        for g in b:
+            holders[g].append(i)
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_groups(docs).collect()}
+    links = found = 0
+    for i, b in bags.items():
+        low = collections.Counter()
+        for g, n in b.items():
+            for j in holders[g]:
+                if j > i:
+                    low[j] += min(n, bags[j][g])
+        for j, n in low.items():
+            if n >= 0.8 * (b.total() + bags[j].total() - n):
+                links += 1
+                found += classes[i] == classes[j]
+    assert links > 20 and found >= 0.9 * links
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
