@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bloom import may_match
 from tessera.llm.common import settle
 from tessera.llm.components import components
 from tessera.llm.lexer import alnum_lexer, grams, inside, mix, text_parts
@@ -188,6 +189,7 @@ def _shingled(shingle: int):
 
 def _sets(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
     """(node, s): the elements of each node of ``named`` (node, id, th); one row per node."""
+    docs = docs.where(may_match(named.select("th"), F.col("th")))
     texts = docs.join(named, docs["id"].eqNullSafe(named["id"]) & (docs["th"] == named["th"])).select("node", "text")
     sets = settle(texts.mapInArrow(_shingled(shingle), "node long, s array<long>"), "sets")
     # A row that repeats another in id and text gives its node again in another task.
