@@ -7,12 +7,19 @@ record's closing line end is the writer's line separator), so any file system th
 Spark writes can hold the archives. ``records_per_file`` bounds a file.
 
 The reader takes archives as bytes, plain or gzipped by member or as a whole. Each
-record must parse, be as long as it says, end in two line ends and match its digests.
-After a failed check the reader looks for the next place where a valid gzip member or
-version line starts, goes on there, and logs the bytes between as a quarantined gap.
+record must parse, be as long as it says, end in two line ends and match those digests
+whose algorithm is known (MD5, SHA-1, SHA-2; hexadecimal or base32); others are not
+checked. After a failed check the reader looks for the next place where a valid gzip
+member or version line starts, goes on there, and logs the bytes between as a
+quarantined gap. Of a damaged gzip member the records before the damage are recovered.
+A member is unpacked in small pieces up to ``MOST_BYTES``, so a member made to explode
+is cut there and logged. A file is one row of Spark's ``binaryFile`` source, which holds
+up to 2 GiB; ``records_per_file`` keeps own archives far below.
 
 Null pages are empty payloads. Rows of equal payload and equal largest ``page_id`` are
-each a response; a null ``page_id`` is smallest. Line ends in a URL become spaces.
+each a response; a null ``page_id`` is smallest. Line ends in a URL become spaces; a null
+URL has no header line and stays null. An empty table gives no archive and no rows. Columns
+other than the three named are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +42,15 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
+#: The most bytes that one gzip member is unpacked to.
+MOST_BYTES = 1 << 30
+_PIECE = 1 << 16
+
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _NEXT = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
-_ID = re.compile(r"<urn:tessera:page:(-?\d+|null)>")
+_ID = re.compile(r"<urn:tessera:page:(-?[0-9]{1,19}|null)>")
+_LENGTH = re.compile(r"[0-9]{1,18}")
+_HEX = re.compile(r"[0-9a-f]+")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -57,7 +70,7 @@ def _record(page_id, url, payload: bytes, refers_to) -> bytes:
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:tessera:page:{name}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        *([] if url is None else [f"WARC-Target-URI: {' '.join(url.split())}"]),
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
@@ -96,6 +109,19 @@ class Damaged(Exception):
     pass
 
 
+def _differs(digest: str, data: bytes) -> bool:
+    """Whether ``algorithm:value`` is of a known algorithm and encoding and not that of ``data``."""
+    name, _, value = digest.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip().lower().rstrip("=")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return False
+    found = hashlib.new(name, data, usedforsecurity=False).digest()
+    if len(value) == 2 * len(found) and _HEX.fullmatch(value):
+        return value != found.hex()
+    plain = base64.b32encode(found).decode().lower().rstrip("=")
+    return len(value) == len(plain) and value != plain
+
+
 def _parse(data: bytes, pos: int, verify: bool = True) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record at ``pos``; Damaged if any check fails."""
     line = _VERSION.match(data, pos)
@@ -110,7 +136,7 @@ def _parse(data: bytes, pos: int, verify: bool = True) -> tuple[dict, bytes, int
         if not colon:
             raise Damaged("head line without colon")
         headers[name.strip().lower()] = value.strip()
-    if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
+    if not _LENGTH.fullmatch(headers.get("content-length", "")) or "warc-type" not in headers:
         raise Damaged("no length or type")
     start = end + 4
     stop = start + int(headers["content-length"])
@@ -119,60 +145,75 @@ def _parse(data: bytes, pos: int, verify: bool = True) -> tuple[dict, bytes, int
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("record does not end where it says")
     block = data[start:stop]
-    if verify:
-        digest = headers.get("warc-block-digest", "")
-        if digest.startswith("sha1:") and digest[5:] != sha1_base32(block):
-            raise Damaged("block digest differs")
+    if verify and _differs(headers.get("warc-block-digest", ""), block):
+        raise Damaged("block digest differs")
     return headers, block, stop + 4
 
 
-def _member(data: bytes, pos: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``pos``."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[pos:])
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    if not z.eof:
-        raise Damaged("gzip member cut off")
-    return out, len(data) - len(z.unused_data)
+def _member(data: bytes, pos: int, most: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at ``pos``, and why it ends before its own end, if it does."""
+    z, out, size, at, view = zlib.decompressobj(31), [], 0, pos, memoryview(data)
+    while not z.eof:
+        piece = z.unconsumed_tail or view[at : at + _PIECE]
+        if not len(piece):
+            return b"".join(out), at, "gzip member cut off"
+        if not z.unconsumed_tail:
+            at += len(piece)
+        try:
+            got = z.decompress(piece, 4 * _PIECE)
+        except zlib.error as e:
+            return b"".join(out), at, f"gzip: {e}"
+        size += len(got)
+        if size > most:
+            return b"".join(out), at, f"gzip member of more than {most} bytes"
+        out.append(got)
+    return b"".join(out), at - len(z.unused_data), ""
 
 
-def salvage(data: bytes, verify: bool = True) -> Iterator[tuple]:
-    """``("record", start, end, headers, block)`` of all valid records and ``("gap", start, end, reason, b"")`` of what lies between."""
+def _plain(data: bytes, verify: bool, packed: bool, most: int) -> Iterator[tuple]:
     pos, gap, why = 0, None, ""
     while pos < len(data):
         found, reason = [], ""
-        try:
-            if data[pos : pos + 3] == b"\x1f\x8b\x08":
-                inner, end = _member(data, pos)
-                found = list(salvage(inner, verify))
-                if not any(x[0] == "record" for x in found):
-                    raise Damaged("gzip member without a valid record")
-                found = [(kind, pos, end, a, b) for kind, _, _, a, b in found]
-            else:
+        if packed and data[pos : pos + 3] == b"\x1f\x8b\x08":
+            inner, end, reason = _member(data, pos, most)
+            found = [(kind, pos, end, a, b) for kind, _, _, a, b in _plain(inner, verify, False, most)]
+            if not any(x[0] == "record" for x in found):
+                found, reason = [], reason or "gzip member without a valid record"
+            elif reason:
+                found = [x for x in found if x[0] == "record"]
+        else:
+            try:
                 headers, block, end = _parse(data, pos, verify)
                 found = [("record", pos, end, headers, block)]
-        except Damaged as e:
-            reason = str(e)
-        if found:
-            if gap is not None:
-                yield "gap", gap, pos, why, b""
-                gap = None
-            yield from found
+            except Damaged as e:
+                reason = str(e)
+        if found and gap is not None:
+            yield "gap", gap, pos, why, b""
+            gap = None
+        yield from found
+        if not reason:
             pos = end
             continue
         if gap is None:
             gap, why = pos, reason
-        later = _NEXT.search(data, pos + 1)
+        later = (_NEXT if packed else _VERSION).search(data, pos + 1)
         pos = later.start() if later else len(data)
     if gap is not None:
         yield "gap", gap, len(data), why, b""
 
 
+def salvage(data: bytes, verify: bool = True, most: int = MOST_BYTES) -> Iterator[tuple]:
+    """``("record", start, end, headers, block)`` of all valid records and ``("gap", start, end, reason, b"")`` of what lies between.
+
+    Records of a damaged gzip member have its range and lie in its gap.
+    """
+    return _plain(data, verify, True, most)
+
+
 def _page(urn: str) -> int | None:
     m = _ID.fullmatch(urn)
-    return int(m[1]) if m and m[1] != "null" else None
+    n = int(m[1]) if m and m[1] != "null" else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 def payload_of(block: bytes) -> bytes:
@@ -193,8 +234,11 @@ def _read(batches):
                     rows.append((path, kind, start, stop, a, None, None, None, None, None, None))
                     continue
                 kind_, digest = a["warc-type"], a.get("warc-payload-digest", "")
-                body = payload_of(block) if kind_ == "response" else None
-                reason = "payload digest differs" if body is not None and digest and digest != f"sha1:{sha1_base32(body)}" else None
+                web = "application/http" in a.get("content-type", "application/http").lower()
+                body = None if kind_ == "revisit" else payload_of(block) if web else block
+                # A payload sent in pieces may have its digest with or without their marks.
+                checked = body is not None and b"transfer-encoding" not in block[: len(block) - len(body)].lower()
+                reason = "payload digest differs" if checked and _differs(digest, body) else None
                 refers = _page(a["warc-refers-to"]) if "warc-refers-to" in a else None
                 rows.append((path, "gap" if reason else kind, start, stop, reason, kind_, _page(a.get("warc-record-id", "")), a.get("warc-target-uri"), body, digest.removeprefix("sha1:"), refers))
                 if len(rows) >= 256:
