@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,3 +52,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only; the ASCII-only texts take the cheaper built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def with_running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the sum of each column of ``sums`` over all rows before this one in ``order``, in two levels.
+
+    Rows are dealt out by ranges of ``order``; only one row of sums per range meets the others.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    df = df.select("*", *(c.alias(n) for n, c in zip(names, order, strict=True)), *(c.alias(f"_s_{k}") for k, c in sums.items()))
+    ranged = settle(df.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = ranged.groupBy("_range").agg(*(F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums))
+    before = lambda c, *part: F.coalesce(F.sum(c).over(Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row per range, as many as there are shuffle partitions.
+    per = per.select("_range", *(before(f"_t_{k}").alias(f"_b_{k}") for k in sums))
+    inside = Window.partitionBy("_range").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(per), "_range").select("*", *((F.col(f"_b_{k}") + F.coalesce(F.sum(f"_s_{k}").over(inside), F.lit(0))).alias(k) for k in sums))
+    return out.drop("_range", *names, *(f"_{x}_{k}" for x in "sb" for k in sums))
