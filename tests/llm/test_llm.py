@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -424,6 +425,75 @@ def test_round_trip_and_recovery():
     assert records(b"".join(parts)[:-9]) == whole[:5] and records(b"") == []
 
 
+def test_damaged_members_give_what_came_before():
+    parts = archive(40)
+    packed = bytearray(gzip.compress(b"".join(parts), 0))
+    at = packed.index(b"urn:tessera:page:30>")
+    packed[at + 17] ^= 1
+    got = records(bytes(packed))
+    # Stored blocks: the damage shows in one record's digest or in the checksum at the end.
+    assert [x[0] for x in got[:30]] == list(range(30)) and len(got) >= 38
+    assert [x[0] for x in records(gzip.compress(b"".join(parts))[:-200])][:20] == list(range(20))
+
+
+def test_digests_go_by_their_algorithm():
+    def made(digest):
+        return warc._record(1, "u", b"page", None).replace(f"WARC-Payload-Digest: sha1:{warc.sha1_base32(b'page')}".encode(), f"WARC-Payload-Digest: {digest}".encode()) + b"\r\n"
+
+    good = [f"sha256:{hashlib.sha256(b'page').hexdigest()}", f"MD5:{hashlib.md5(b'page').hexdigest().upper()}", f"sha1:{warc.sha1_base32(b'page').lower()}", f"sha-1:{hashlib.sha1(b'page').hexdigest()}", "blake9:xyz", "sha1:short", ""]
+    for digest in good + [f"sha256:{hashlib.sha256(b'other').hexdigest()}"]:
+        rows = [r for b in warc._read([pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([made(digest)])], ["path", "content"])]) for r in b.to_pylist()]
+        assert [r["kind"] for r in rows] == ["record" if digest in good else "gap"]
+
+
+def test_reader_survives_random_damage():
+    rnd = random.Random(8)
+    plain = archive(8)
+    for data in (b"".join(plain), b"".join(map(gzip.compress, plain)), gzip.compress(b"".join(plain))):
+        for _ in range(150):
+            hurt = bytearray(data)
+            for _ in range(rnd.randint(1, 6)):
+                i = rnd.randrange(len(hurt))
+                kind = rnd.random()
+                if kind < 0.5:
+                    hurt[i] = rnd.randrange(256)
+                elif kind < 0.75:
+                    del hurt[i : i + rnd.randint(1, 50)]
+                else:
+                    hurt[i:i] = rnd.choice(["²", "9" * 5000, "WARC/1.1\r\n", "\r\n\r\n", "\x1f"]).encode()
+            found = list(warc.salvage(bytes(hurt)))
+            # No digest covers the head, so its values may be damaged.
+            assert all("warc-type" in x[3] for x in found if x[0] == "record")
+            assert all(0 <= x[1] < x[2] <= len(hurt) for x in found)
+    head = warc._record(1, "u", b"page", None).replace(b"Content-Length: ", "Content-Length: ²".encode())
+    assert [x[0] for x in warc.salvage(head)] == ["gap"]
+
+
+def test_reading_takes_time_in_proportion():
+    def took(n):
+        data = b"".join(gzip.compress(x, 1) for x in archive(20)) * (n // 20)
+        began = time.perf_counter()
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == n
+        return time.perf_counter() - began
+
+    took(200)
+    assert took(16_000) < 20 * max(took(2_000), 0.05)
+
+
+def test_members_made_to_explode_are_cut():
+    bomb = gzip.compress(b"".join(archive(3)) + b"x" * 50_000_000)
+    found = list(warc.salvage(bomb + gzip.compress(archive(1)[0]), most=1 << 20))
+    assert [x[0] for x in found].count("record") == 4
+    assert any("more than" in str(x[3]) for x in found if x[0] == "gap")
+
+
+def test_archives_of_empty_tables_and_long_payloads(spark):
+    pages = spark.createDataFrame([(1, None, "é" * 3_000_000), (2, "u", None)], "page_id long, url string, html string")
+    assert warc.page_records(spark, pages.limit(0)).count() == 0
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.url) for r in warc.page_records(spark, pages).collect()}
+    assert got == {1: (6_000_000, warc.sha1_base32("é".encode() * 3_000_000), None), 2: (0, warc.sha1_base32(b""), "u")}
+
+
 def test_archives_of_odd_pages(spark):
     data = [(1, "u", "x"), (2, "a\nb", "x"), (3, "v", None), (4, None, ""), (5, "w", "é"), (5, "w", "é"), (None, "n", "q")]
     got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.page_records(spark, spark.createDataFrame(data, "page_id long, url string, html string").withColumn("sha", F.lit(1))).collect()}
