@@ -1,7 +1,7 @@
-"""Bloom filter of fixed size: keeps rows from being dealt out whose key no partner has.
+"""Filter of fixed size: keeps rows from being dealt out whose key no partner has.
 
-It only saves shuffle. The more keys, the more rows pass without a partner; joins stay
-exact at every size.
+One bit per hash cell. It only saves shuffle: the more keys, the more rows pass without a
+partner; joins stay exact at every size.
 """
 
 from __future__ import annotations
@@ -16,34 +16,65 @@ from tessera.llm.lexer import mix
 
 #: The filter holds 2^BITS bits (8 MB), whatever the number of keys.
 BITS = 26
+#: Parts in which it is put together.
+_PART = 20
+_FLUSH = 1 << 20
 
 
-def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(key.view(np.uint64))
-    return h >> np.uint64(64 - BITS), (h << np.uint64(BITS)) >> np.uint64(64 - BITS)
+def _cells(key: np.ndarray) -> np.ndarray:
+    return mix(key.view(np.uint64)) >> np.uint64(64 - BITS)
 
 
-def _bit_rows(batches):
+def _dealt(batches):
+    """Different cells by part, as packed differences."""
+
+    def flushed(held):
+        at = np.unique(np.concatenate(held))
+        part = (at >> np.uint64(_PART)).astype(np.int32)
+        cut = np.searchsorted(part, np.arange((1 << BITS - _PART) + 1))
+        some = np.flatnonzero(np.diff(cut))
+        raw = [np.diff(at[cut[i] : cut[i + 1]] & np.uint64((1 << _PART) - 1), prepend=np.uint64(0)).astype(np.uint32) for i in some]
+        blobs = [len(x).to_bytes(4, "little") + pa.Codec("zstd").compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True) for x in raw]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "cells"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_cells(batch.column(0).to_numpy()))
+            size += len(held[-1])
+        if size >= _FLUSH:
+            yield flushed(held)
+            held, size = [], 0
+    if held:
+        yield flushed(held)
+
+
+def _united(batches):
+    bits: dict[int, np.ndarray] = {}
     for batch in batches:
-        at = np.unique(np.concatenate(places(batch.column(0).to_numpy())))
-        word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][: len(word)])
-        bits = np.bitwise_or.reduceat(bit, first) if len(first) else bit
-        yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int64)), pa.array(bits.view(np.int64))], ["w", "b"])
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = blob.as_py()
+            n = int.from_bytes(data[:4], "little")
+            raw = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 4 * n, asbytes=True), np.uint8).reshape(4, n)
+            at = np.cumsum(np.ascontiguousarray(raw.T).view(np.uint32).ravel())
+            bits.setdefault(part, np.zeros(1 << _PART, bool))[at] = True
+    for part, x in bits.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
 
 def build(keys: DataFrame) -> np.ndarray:
-    """The filter's words of 64 bits; ``keys`` has one column of longs."""
-    words = keys.mapInArrow(_bit_rows, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << BITS - 6, np.int64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    return bits.view(np.uint64)
+    """The filter's bytes; ``keys`` has one column of longs."""
+    parts = keys.mapInArrow(_dealt, "part int, cells binary").repartition("part").mapInArrow(_united, "part int, bits binary").toArrow()
+    bits = np.zeros(1 << BITS - 3, np.uint8)
+    size = 1 << _PART - 3
+    for part, x in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        bits[part * size : (part + 1) * size] = np.frombuffer(x, np.uint8)
+    return bits
 
 
 def among(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    x, y = places(key)
-    at = lambda p: bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)
-    return (at(x) & at(y)).astype(bool)
+    at = _cells(key)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
 def may_match(keys: DataFrame, key: Column) -> Column:
