@@ -8,6 +8,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -514,18 +515,16 @@ def test_whole_texts_and_lines(spark):
 # Quality
 
 
-def brute_perplexity(texts, scored, vocabulary, prune=2):
-    """Kneser-Ney trigrams with plain dictionaries."""
+def brute_perplexity(texts, scored):
+    """Modified Kneser-Ney bigrams with plain dictionaries; every word is its own, nothing is pruned."""
     C = collections.Counter
-    words = [ALNUM.findall(fold(t)) for t in texts]
-    known = {w for w, _ in C(w for x in words for w in x).most_common(vocabulary)}
-    pad = lambda x: ["<s>", "<s>", *(w if w in known else "?" for w in x), "</s>"]
-    tri = C(tuple(s[i - 2 : i + 1]) for s in map(pad, words) if len(s) > 3 for i in range(2, len(s)))
-    pair, one = C(), C()
-    for (a, b, c), n in tri.items():
-        pair[b, c] += n if b == "<s>" else 1
-    for _, c in pair:
-        one[c] += 1
+    words = [w for w in (ALNUM.findall(fold(t)) for t in texts) if w]
+    pad = lambda x: ["<s>", *x, "</s>"]
+    pair = C(p for x in words for p in itertools.pairwise(pad(x)))
+    before, total, left = C(c for _, c in pair), C(), collections.defaultdict(C)
+    for (b, _), n in pair.items():
+        total[b] += n
+        left[b][min(n, 3)] += 1
 
     def discounts(counts):
         n1, n2, n3, n4 = (sum(v == i for v in counts.values()) for i in (1, 2, 3, 4))
@@ -535,65 +534,92 @@ def brute_perplexity(texts, scored, vocabulary, prune=2):
         d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
         return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))
 
-    d3, d2 = discounts(tri), discounts(pair)
-    total = sum(one.values())
-    p1 = lambda c: max(one[c] - 0.75, 0) / total + 0.75 * len(one) / total / (len(known) + 2)
+    d2, d1 = discounts(pair), discounts(before)
+    uses = C(w for x in words for w in x)
+    f1, f2 = (sum(n == i for n in uses.values()) for i in (1, 2))
+    unseen = max(f1 * f1 / (2 * f2) if f2 else f1 * (f1 - 1) / 2, 1)
+    every = sum(before.values())
+    base = sum(d1[min(n, 3) - 1] for n in before.values()) / every / (len(before) + unseen)
+    p1 = lambda c: base + (max(before[c] - d1[min(before[c], 3) - 1], 0) / every if before[c] else 0)
+
+    def p2(b, c):
+        if b not in total:
+            return p1(c)
+        n = pair.get((b, c), 0)
+        mass = sum(d2[k - 1] * m for k, m in left[b].items()) / total[b]
+        return (max(n - d2[min(n, 3) - 1], 0) / total[b] if n else 0) + mass * p1(c)
 
-    def level(counts, d, floor):
-        sums, mass = C(), C()
-        for k, n in counts.items():
-            sums[k[:-1]] += n
-            mass[k[:-1]] += d[min(n, 3) - 1] if n >= floor else n
-
-        def p(k, low):
-            ctx = k[:-1]
-            if ctx not in sums:
-                return low
-            n = counts.get(k, 0)
-            own = max(n - d[min(n, 3) - 1], 0) / sums[ctx] if n >= floor else 0
-            return own + mass[ctx] / sums[ctx] * low
-
-        return p
-
-    q2, q3 = level(pair, d2, 1), level(tri, d3, prune)
     out = []
     for t in scored:
         s = pad(ALNUM.findall(fold(t)))
-        logs = [np.log(q3(tuple(s[i - 2 : i + 1]), q2((s[i - 1], s[i]), p1(s[i])))) for i in range(2, len(s))]
-        out.append(float(np.exp(-np.mean(logs))) if len(s) > 3 else None)
+        out.append(float(np.exp(-np.mean([np.log(p2(b, c)) for b, c in itertools.pairwise(s)]))) if len(s) > 2 else None)
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 7, 1 << 20])
-def test_perplexity_against_dictionaries(spark, hot):
+SCORED = "row long, doc_id long, t string, lang string, held boolean"
+
+
+def scores(spark, texts, model, **kw):
+    docs = spark.createDataFrame([(i, i, t, "en", False) for i, t in enumerate(texts)], SCORED).repartition(3)
+    return [r.perplexity for r in quality_lm.perplexities(docs, model, **kw).orderBy("row").collect()]
+
+
+@pytest.mark.parametrize("hot,frequent", [(0, 4), (7, 4), (1 << 20, 4), (1 << 20, 1 << 18)])
+def test_perplexity_against_dictionaries(spark, monkeypatch, hot, frequent):
+    """Also with words beyond the numbered ones, many shards and small batches."""
+    monkeypatch.setattr(quality_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(quality_lm, "FLUSH", 300)
+    monkeypatch.setattr(quality_lm, "SHARD", 100)
     rnd = random.Random(8)
-    weights = {"abcdefgh"[i]: 2.0**-i for i in range(8)}
-    text = lambda: " ".join(rnd.choices(list(weights), list(weights.values()), k=rnd.randint(0, 40)))
+    vocabulary = [a + b for a in "abcdefgh" for b in ("", "x", "yy", "é")]
+    weights = [1.3**-i for i in range(len(vocabulary))]
+    text = lambda: " ".join(rnd.choices(vocabulary, weights, k=rnd.randint(0, 40)))
     good = [text() for _ in range(80)]
-    other = [*(text() for _ in range(20)), "zz yy a b", "", "h h h h h", "a"]
-    model = quality_lm.train(spark.createDataFrame([(t,) for t in good], "text string"), vocabulary=6)
-    docs = spark.createDataFrame([(i, i, t, "en", False) for i, t in enumerate(other)], "row long, doc_id long, t string, lang string, held boolean")
-    got = {r.doc_id: r.perplexity for r in quality_lm.perplexities(docs, model, hot=hot).collect()}
-    want = brute_perplexity(good, other, 6)
-    assert [got[i] for i in range(len(other))] == [None if w is None else pytest.approx(w, rel=1e-6) for w in want]
+    other = [*(text() for _ in range(20)), *good[:20], "zz yy a b", "", None, "h h h h h", "a", "zz", "A, a; É"]
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in good], "text string").repartition(4))
+    want = brute_perplexity(good, other)
+    assert scores(spark, other, model, hot=hot) == [None if w is None else pytest.approx(w, rel=1e-6) for w in want]
 
 
-def test_every_trusted_word_has_its_own_counts_and_unknown_words_cost(spark):
+def test_unknown_words_cost(spark):
+    """Words as frequent as in language: the k-th with a share of 1 / k."""
     rnd = random.Random(9)
-    text = lambda: " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 40)))
-    good = [text() for _ in range(80)]
-    other = [*(text() for _ in range(20)), "zz yy a b", "", "zz"]
-    score = lambda texts, model: [r.perplexity for r in quality_lm.perplexities(spark.createDataFrame([(i, i, t, "en", False) for i, t in enumerate(texts)], "row long, doc_id long, t string, lang string, held boolean"), model, hot=7).orderBy("row").collect()]
-    # No letter is seen once or twice, so one unseen word is assumed, as in the dictionaries.
-    want = brute_perplexity(good, other, 1 << 20)
-    assert score(other, quality_lm.train(spark.createDataFrame([(t,) for t in good], "text string"))) == [None if w is None else pytest.approx(w, rel=1e-6) for w in want]
-    # More words than were ever numbered.
-    words = [f"w{i}" for i in range(9000)]
-    many = [" ".join(["the", *rnd.sample(words, 60)]) for _ in range(400)]
-    seen, junk = score([" ".join(rnd.sample(words, 60)), " ".join(f"x{i}" for i in range(60))], quality_lm.train(spark.createDataFrame([(t,) for t in many], "text string")))
+    words, weights = [f"w{i}" for i in range(9000)], [1 / (i + 1) for i in range(9000)]
+    text = lambda: " ".join(rnd.choices(words, weights, k=60))
+    model = quality_lm.train(spark.createDataFrame([(text(),) for _ in range(400)], "text string"))
+    seen, junk = scores(spark, [text(), " ".join(f"x{i}" for i in range(60))], model)
     assert junk > 3 * seen
 
 
+def test_judge_against_plain_thresholds(spark):
+    """Default parameters: perplexities by dictionaries, thresholds and what is kept by their definition; few and many labels give the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(None, "a b c", "en"), (1, "x y", None), (70_001, "", "en"), (70_002, None, None)], "doc_id long, text string, lang string"))
+    ids = [r[0] for r in docs.select("doc_id").collect()]
+    good = {i for i in ids if i is not None and i % 3}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in set(ids) if i is not None] + [(None, 1)], "doc_id long, quality int")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % quality_lm.HOLD_OUT == 0
+    pp = brute_perplexity([t for i, t, _ in rows if i in good and not held(i)], [t for _, t, _ in rows])
+    known = [(l, p) for (i, _, l), p in zip(rows, pp, strict=True) if i in good and held(i) and p is not None]
+    assert len(known) > 5
+    quantile = lambda x: sorted(x)[max(int(np.ceil(quality_lm.QUANTILE * len(x))) - 1, 0)]
+    mean = {l: float(np.mean([np.log(p) for m, p in known if m == l])) for l, _ in known}
+    off = [(l, np.log(p) - mean[l]) for l, p in known]
+    shared = quantile([x for _, x in off])
+    limit = {}
+    for l in mean:
+        own = [x for m, x in off if m == l]
+        limit[l] = float(np.exp(mean[l] + (len(own) * quantile(own) + quality_lm.PRIOR * shared) / (len(own) + quality_lm.PRIOR)))
+    overall = quantile([p for _, p in known])
+    want = sorted(((i if i is not None else -1), p or 0, limit.get(l, overall), p is not None and p <= limit.get(l, overall) * (1 + 1e-9)) for (i, _, l), p in zip(rows, pp, strict=True))
+    for few in (1 << 20, 1):
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.perplexity or 0, r.threshold, r.kept) for r in quality_lm.judge(docs, labels, few_labels=few).collect())
+        for x, y in zip(got, want, strict=True):
+            assert x[0] == y[0] and x[3] == y[3]
+            assert x[1:3] == (pytest.approx(y[1], rel=1e-5), pytest.approx(y[2], rel=1e-5))
+
+
 def test_small_languages_have_their_own_threshold(spark):
     """Four languages, two of them with few trusted texts and one without any."""
     rnd, data = random.Random(10), []
