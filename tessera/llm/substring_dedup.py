@@ -16,10 +16,15 @@ whole (copies of long passages) settle all their windows at once. Of the others,
 different context is extended once, with the number of its copies as weight, so a
 passage that a third of all documents share is extended once and not per document.
 
-Counting combines on the map side, and rows meet their counts in joins that AQE can
-split. Texts are dealt out twice, by document: to hash the contexts that need longer
-levels and to remove the covered words. A null text has no words; windows are judged
-on the input; rows of equal ``doc_id`` and text repeat each other.
+Counting combines on the map side, and counts are written before they meet their rows, so
+that the join has two plain shuffles, which AQE can split. Texts are dealt out twice, by
+document: those with contexts that need longer levels to hash these, and all to remove the
+covered words. Runs are equal if two hashes of 64 bits are, that of the anchor's words and
+that of the longer run or context around it. A document's spans are one row, at most one
+span for each of its anchors, so far smaller than its text.
+
+A null text has no words; windows are judged on the input; rows of equal ``doc_id`` and
+text repeat each other. Texts shorter than a window lose nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bloom import may_match
 from tessera.llm.common import settle
 from tessera.llm.lexer import grams, mix, space_lexer, text_parts
 
@@ -110,7 +116,7 @@ def _extended(window: int, base: int, lengths: list[int]):
         for batch in batches:
             ids, th, ctx = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             flat, at = ctx.flatten(), np.cumsum(np.r_[0, ctx.value_lengths().to_numpy()])
-            c_lo, c_more, c_off, c_m = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
+            c_lo, c_more, c_off, c_m, c_h = (flat.field(k).to_numpy().astype(np.int64) for k in range(5))
             for lo, hi, data, offs in text_parts(batch.column(2)):
                 _, _, h, woff = lexer.words(data, offs)
                 runs = _Runs(h)
@@ -118,12 +124,12 @@ def _extended(window: int, base: int, lengths: list[int]):
                 doc = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
                 n = c_more[mine] + 1
                 i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                doc, m, off = np.repeat(doc, n), np.repeat(c_m[mine], n), np.repeat(c_off[mine], n) - i
+                doc, m, h8, off = np.repeat(doc, n), np.repeat(c_m[mine], n), np.repeat(c_h[mine], n), np.repeat(c_off[mine], n) - i
                 pos = np.repeat(c_lo[mine], n) + i
                 start, tag = woff[doc] + pos, mix(off.astype(np.uint64) + np.uint64(1))
-                cols = [ids[lo + doc], th[lo + doc], pos.astype(np.int32), m]
+                cols = [ids[lo + doc], th[lo + doc], pos.astype(np.int32), m, h8]
                 cols += [(runs(start + off * (window - x) // (window - base), x) ^ tag).view(np.int64) for x in lengths]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "th", "lo", "m", *(f"h{x}" for x in lengths)])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "th", "lo", "m", "h", *(f"h{x}" for x in lengths)])
 
     return run
 
@@ -132,6 +138,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     """``docs``: (id, th, text). Spans (id, th, lo, n) that cover all words of repeated windows."""
     anchors = docs.mapInArrow(_anchors(window, base), "id long, th long, lo int, more int, off int, h long, ctx long")
     again = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").selectExpr("h", "c0 <> c1 as mixed")
+    again = settle(again, "repeated")
     found = settle(anchors.join(again, "h"), "anchors")
     spans = [found.where("not mixed").selectExpr(*KEY, "lo", f"more + {window} as n")]
 
@@ -140,15 +147,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     spans.append(mixed.join(ctx.where("m > 1").select("h", "ctx"), ["h", "ctx"]).selectExpr(*KEY, "lo", f"more + {window} as n"))
 
     lengths = levels(window, base)
-    each = ctx.select("x.*", "m").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "more", "off", "m")).alias("ctx"))
-    rows = docs.join(each, KEY).select("id", "th", "text", "ctx")
-    kind = "id long, th long, lo int, m long, " + ", ".join(f"h{x} long" for x in lengths)
+    each = settle(ctx.select("x.*", "m", "h").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "more", "off", "m", "h")).alias("ctx")), "extended")
+    rows = docs.where(may_match(each.select("th"), F.col("th"))).join(each, KEY).select("id", "th", "text", "ctx")
+    kind = "id long, th long, lo int, m long, h long, " + ", ".join(f"h{x} long" for x in lengths)
     cand = settle(rows.mapInArrow(_extended(window, base, lengths), kind), "windows")
     for x in lengths:
         if cand.isEmpty():
             break
-        twice = cand.groupBy(f"h{x}").agg(F.sum("m").alias("k")).where("k > 1").select(f"h{x}")
-        cand = settle(cand.join(twice, f"h{x}", "left_semi").select("id", "th", "lo", "m", *(f"h{y}" for y in lengths if y > x)), f"level{x}")
+        twice = settle(cand.groupBy("h", f"h{x}").agg(F.sum("m").alias("k")).where("k > 1").select("h", f"h{x}"), f"twice{x}")
+        cand = settle(cand.join(twice, ["h", f"h{x}"], "left_semi").select("id", "th", "lo", "m", "h", *(f"h{y}" for y in lengths if y > x)), f"level{x}")
     spans.append(cand.where("m = 1").selectExpr(*KEY, "lo", f"{window} as n"))
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
@@ -195,7 +202,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text, F.col(id_col).isNull()).alias("th"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     spans = repeated_spans(docs.select(*KEY, "text"), window, base)
-    each = spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    each = settle(spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "n")).alias("spans")), "spans")
     rows = docs.join(each, KEY, "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
