@@ -7,7 +7,6 @@ partner; joins stay exact at every size.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +80,8 @@ def may_match(keys: DataFrame, key: Column) -> Column:
     """False only where no row of ``keys`` (one column of longs) equals ``key``."""
     sent = keys.sparkSession.sparkContext.broadcast(build(keys))
 
-    @F.pandas_udf("boolean")
-    def maybe(k: pd.Series) -> pd.Series:
-        return pd.Series(among(sent.value, k.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def maybe(k: pa.Array) -> pa.Array:
+        return pa.array(among(sent.value, k.to_numpy(zero_copy_only=False)))
 
     return maybe(key)

@@ -12,7 +12,8 @@ languages with the weight of ``PRIOR`` texts.
 
 Every labelled language is learned. The texts per language are bounded: about ``SAMPLE``
 texts in all but ``LEAST`` per language where there are more languages than that allows,
-picked by a hash of their ``doc_id``. The sample is counted on the executors, only packed
+picked by a hash of the text, equal texts of a language once; never more than twice as
+many. The sample is counted on the executors, only packed
 vectors of at most ``DIMS`` entries come to the driver, and it holds the dense matrix of
 one language at a time. The model is ``CENTROIDS * DIMS`` floats per language.
 
@@ -117,17 +118,19 @@ def _expected(grams: np.ndarray, usual: tuple[np.ndarray, np.ndarray]) -> np.nda
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS, reject_share: float = 0.67, reject_quantile: float = 0.005, min_grams: int = 40, seed: int = 5) -> dict:
     """The model as plain arrays: ``langs``, ``idf``, ``centroids``, ``owner``, and ``floor`` as shares of ``usual``."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold, F.lit(0)) != HELD_OUT)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = known.groupBy("l").count().collect()
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold, F.lit(0)) != HELD_OUT)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    # Of different texts; one row per language.
+    counts = known.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t"))).collect()
     empty = {"langs": [], "idf": np.ones(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "owner": np.zeros(0, int), "floor": np.zeros(0, np.float32), "usual": _usual(np.zeros(0), np.zeros(0))}
     if not counts:
         return empty
     each = max(sample // len(counts), LEAST)
-    # One row per language.
     share = docs.sparkSession.createDataFrame([(l, min(1.0, each / n)) for l, n in counts], "sl string, share double")
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("i")), F.lit(1_000_003)) / 1_000_003
-    rows = known.join(F.broadcast(share), F.col("l") == F.col("sl")).where(u < F.col("share")).select("l", "t").mapInArrow(_sampled, "lang string, idx binary, val binary").collect()
-    rows = [r for r in rows if r["idx"]]
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("t")), F.lit(1_000_003)) / 1_000_003
+    picked = known.join(F.broadcast(share), F.col("l") == F.col("sl")).where(u < F.col("share")).select("l", "t")
+    picked = picked.dropDuplicates(["l", "t"]).limit(2 * each * len(counts))
+    rows = picked.mapInArrow(_sampled, "lang string, idx binary, val binary").collect()
+    rows = sorted((r for r in rows if r["idx"]), key=lambda r: (r["lang"], r["idx"], r["val"]))
     if not rows:
         return empty
     cells = [np.frombuffer(r["idx"], np.int32) for r in rows]
@@ -158,15 +161,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(made), "owner": np.repeat(np.arange(len(langs)), [len(c) for c in made]), "floor": np.array(floor, np.float32), "usual": usual, "min_grams": min_grams}
 
 
-def _predicted(model):
+def _predicted(model, text_at: int, rest: int):
+    """Columns: id, letter, then others, the text at ``text_at``; those from ``rest`` on are handed on."""
+
     def run(batches):
         m = model.value
         langs, n_langs = m["langs"], len(m["langs"])
         centroids = m["centroids"]
         for batch in batches:
             pred, score, rejected = [], [], []
-            letters = batch.column(2).to_pylist()
-            for lo, hi, data, offs in text_parts(batch.column(1)):
+            letters = batch.column(1).to_pylist()
+            for lo, hi, data, offs in text_parts(batch.column(text_at)):
                 cells, at = gram_cells(data, offs)
                 for a in range(0, hi - lo, 64):
                     b = min(a + 64, hi - lo)
@@ -186,7 +191,7 @@ def _predicted(model):
                             pred.append("und"), score.append(0.0), rejected.append(True)
                         else:
                             pred.append(langs[owner[j]]), score.append(float(top[j])), rejected.append(bool(far[j]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *(batch.column(i) for i in range(3, batch.num_columns))], ["doc_id", "lang_pred", "score", "rejected", *batch.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *(batch.column(i) for i in range(rest, batch.num_columns))], ["doc_id", "lang_pred", "score", "rejected", *batch.schema.names[rest:]])
 
     return run
 
@@ -196,9 +201,12 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     more = [F.col(c).alias(f"p_{i}") for i, c in enumerate(payload)]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), letter.alias("letter"), *more)
+    # A text that is handed on anyway is sent once.
+    own = [] if text_col in payload else [F.col(text_col).alias("text")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), letter.alias("letter"), *own, *more)
+    text_at = 2 if own else 2 + payload.index(text_col)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     kind = ", ".join([f"doc_id {kinds['doc_id']}, lang_pred string, score double, rejected boolean", *(f"p_{i} {kinds[f'p_{i}']}" for i in range(len(payload)))])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    out = rows.mapInArrow(_predicted(sent), kind)
+    out = rows.mapInArrow(_predicted(sent, text_at, 2 + len(own)), kind)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected", *(f"p_{i}" for i in range(len(payload))))
