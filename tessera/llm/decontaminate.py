@@ -1,24 +1,24 @@
 """Benchmark decontamination by winnowing.
 
 Every run of ``WINDOW`` words has ``WINDOW - GRAM + 1`` k-grams; the smallest of their
-hashes is the run's fingerprint. Equal runs have equal fingerprints, so looking up the
-fingerprints of the documents among those of the benchmark finds every shared run. Each
+hashes is the run's fingerprint. Equal runs have equal fingerprints, so joining the
+fingerprints of the documents with those of the benchmark finds every shared run. Each
 hit is then extended to the whole runs around it, whose words are compared exactly.
 Items of fewer words are runs of their own length, with one fingerprint each.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text; each block is
-broadcast by itself, so what is broadcast has a bound that does not depend on the
-data. One block needs no shuffle at all; more are scanned one after the other and
-their spans united per document. An item longer than a block forms a block alone.
+Both sides are tables. Only what the documents may share is dealt out: two filters of
+fixed size, of the benchmark's fingerprints and of its runs, are broadcast, and a run
+passes if both may hold it. Neighbouring runs mostly share the fingerprint, so only its changes
+are looked up. The benchmark itself is never collected; a run that many items share
+and many documents hold meets each document once for the words and once per item.
 
 Null and word-less texts have no words and no hits; word-less items occur nowhere.
-Repeated items count once per ``item_id``. Rows of documents are never merged.
+Repeated items count once per ``item_id``, a null ``item_id`` never. Rows equal in
+``doc_id`` and text have equal results and each a row.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom
 from tessera.llm.common import settle
 from tessera.llm.lexer import alnum_lexer, grams, inside, mix, text_parts
 
 WINDOW = 10
 GRAM = 5
-BLOCK_BYTES = 8 << 20
-_FLAG_BITS = 22
-
-SPANS = "row long, doc_id long, n_words long, spans array<long>, items array<string>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Words as in ``lexer.alnum_lexer``, of texts whose A-Z are not yet lower.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
+#: Runs that a task turns into text at once.
+_CHUNK = 20_000
 
 
 def _row_minima(g: np.ndarray, w: int) -> np.ndarray:
@@ -45,165 +46,106 @@ def _row_minima(g: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def index_block(items: list[tuple[object, str | None]], window: int, gram: int) -> tuple:
-    """Plain data of a block: the items of each window's words and, by length, fingerprints and window hashes."""
-    lexer = alnum_lexer()
-    by_words: dict[tuple[int, bytes], set[str]] = defaultdict(set)
-    hashes: dict[int, set[int]] = defaultdict(set)
-    prints: dict[int, set[int]] = defaultdict(set)
-    ids, texts = [str(i) for i, _ in items], pa.array([t for _, t in items], pa.large_string())
-    for lo, _, data, offs in text_parts(texts):
-        starts, ends, h, woff = lexer.words(data, offs)
-        for i in range(len(woff) - 1):
-            a, b = int(woff[i]), int(woff[i + 1])
-            n = min(window, b - a)
-            if not n:
-                continue
-            runs = grams(h[a:b], n)
-            hashes[n].update(runs.tolist())
-            prints[n].update((_row_minima(grams(h[a:b], gram), window - gram + 1) if n == window else runs).tolist())
-            words = [data[s:e].tobytes().lower() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-            for j in range(len(runs)):
-                by_words[n, b" ".join(words[j : j + n])].add(ids[lo + i])
-    lengths = []
-    for n in sorted(prints):
-        fp = np.array(sorted(prints[n]), np.uint64)
-        flags = np.zeros(1 << _FLAG_BITS, bool)
-        flags[fp >> np.uint64(64 - _FLAG_BITS)] = True
-        lengths.append((n, np.packbits(flags), fp, np.array(sorted(hashes[n]), np.uint64)))
-    return window, gram, {k: sorted(v) for k, v in by_words.items()}, lengths
-
-
-def hits(block: tuple, data, starts, ends, h, woff) -> Iterator[tuple[int, int, list[str]]]:
-    """(first word, words, items) of every run of these words that is a window of the block."""
-    window, gram, items_of, lengths = block
-    for n, packed, fp, runs in lengths:
-        if len(h) < n:
-            continue
-        if n == window:
-            prints = _row_minima(grams(h, gram), n - gram + 1)
-        else:
-            prints = grams(h, n)
-        # Neighbouring runs mostly share the fingerprint: only changes are looked up.
-        change = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
-        keys = prints[change]
-        at = keys >> np.uint64(64 - _FLAG_BITS)
-        maybe = np.flatnonzero((packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & np.uint8(1))
-        maybe = maybe[_among(keys[maybe], fp)]
-        if not len(maybe):
-            continue
-        until = np.r_[change[1:], len(prints)]
-        places = np.concatenate([np.arange(change[i], until[i]) for i in maybe])
-        ok = inside(woff, n, len(h))
-        places = places[ok[places]]
-        own = h[places]
-        for j in range(1, n):
-            own *= np.uint64(0xD6E8FEB86659FD93)
-            own += h[places + j]
-        places = places[_among(mix(own), runs)]
-        for p in places.tolist():
-            key = b" ".join(data[s:e].tobytes().lower() for s, e in zip(starts[p : p + n], ends[p : p + n], strict=True))
-            items = items_of.get((n, key))
-            if items:
-                yield p, n, items
+def _prints(h: np.ndarray, n: int, window: int, gram: int) -> np.ndarray:
+    """Fingerprints of all runs of ``n`` words, told apart by length."""
+    found = _row_minima(grams(h, gram), n - gram + 1) if n == window > gram else grams(h, n)
+    return mix(found + np.uint64(n))
 
 
-def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return sorted_[at] == x
+def _words(data, starts, ends, p: int, n: int) -> bytes:
+    return b" ".join(data[s:e].tobytes().lower() for s, e in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True))
 
 
-def _scan(block, keyed: bool):
-    """Of ``(doc_id, text, payload ...)`` batches the result rows, or of ``(row, doc_id, text)`` the hit spans."""
+def _item_runs(window: int, gram: int):
+    """Of (item, text): every run with its length, fingerprint and hash."""
 
     def run(batches):
-        lexer, found = alnum_lexer(), block.value
+        lexer = alnum_lexer()
         for batch in batches:
-            ids, texts = batch.column(int(keyed)), batch.column(1 + keyed)
-            n_words, spans, items = [], [], []
-            for lo, hi, data, offs in text_parts(texts):
+            items = batch.column(0).to_pylist()
+            for lo, _, data, offs in text_parts(batch.column(1)):
                 starts, ends, h, woff = lexer.words(data, offs)
-                n_words += np.diff(woff).tolist()
-                here: dict[int, list] = defaultdict(list)
-                for p, n, of in hits(found, data, starts, ends, h, woff):
-                    here[int(np.searchsorted(woff, p, "right")) - 1].append((p, n, of))
-                for d in range(hi - lo):
-                    mine = here.get(d, ())
-                    spans.append([(p - int(woff[d]), n) for p, n, _ in mine])
-                    items.append(set().union(*(of for _, _, of in mine)))
-            if keyed:
-                flat = [[(p << 5) | n for p, n in x] for x in spans]
-                cols = [batch.column(0), ids, pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_words", "spans", "items"])
-            else:
-                yield _digest(ids, n_words, spans, items, batch)
+                for i in range(len(woff) - 1):
+                    a, b = int(woff[i]), int(woff[i + 1])
+                    n = min(window, b - a)
+                    if not n:
+                        continue
+                    fp, own = _prints(h[a:b], n, window, gram), grams(h[a:b], n)
+                    for x in range(0, len(fp), _CHUNK):
+                        y = min(x + _CHUNK, len(fp))
+                        words = [_words(data, starts, ends, a + j, n) for j in range(x, y)]
+                        cols = [pa.array([items[lo + i]] * (y - x), pa.string()), pa.array(np.full(y - x, n)), pa.array(fp[x:y].view(np.int64)), pa.array(own[x:y].view(np.int64)), pa.array(words, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, ["item", "n", "fp", "h", "words"])
 
     return run
 
 
-def _digest(ids, n_words, spans, items, batch) -> pa.RecordBatch:
-    """Result rows, with the columns of ``batch`` from the third on."""
-    hit = [_covered(x) for x in spans]
-    sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-    cols = [ids, pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())]
-    more = range(2, batch.num_columns)
-    return pa.RecordBatch.from_arrays(cols + [batch.column(i) for i in more], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(batch.schema.names[i] for i in more)])
+def _shared_runs(filters, lengths: list[int], window: int, gram: int):
+    """Of (id, th, text): the runs whose fingerprint and hash the benchmark may hold."""
 
+    def places(h, n, fp_bits, run_bits, woff) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fp = _prints(h, n, window, gram)
+        change = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
+        maybe = np.flatnonzero(bloom.among(fp_bits, fp[change].view(np.int64)))
+        if not len(maybe):
+            return
+        first, until = change[maybe], np.r_[change[1:], len(fp)][maybe]
+        size = until - first
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        at = at[inside(woff, n, len(h))[at]]
+        own = h[at].copy()
+        for j in range(1, n):
+            own *= _MULTIPLIER
+            own += h[at + j]
+        at = at[bloom.among(run_bits, mix(own).view(np.int64))]
+        for x in range(0, len(at), _CHUNK):
+            yield at[x : x + _CHUNK], fp[at[x : x + _CHUNK]]
 
-def _covered(spans) -> int:
-    total, upto = 0, 0
-    for p, n in sorted(spans):
-        total += max(0, p + n - max(p, upto))
-        upto = max(upto, p + n)
-    return total
-
+    def run(batches):
+        lexer, (fp_bits, run_bits) = alnum_lexer(), filters.value
+        for batch in batches:
+            ids, th = batch.column(0), batch.column(1)
+            for lo, _, data, offs in text_parts(batch.column(2)):
+                starts, ends, h, woff = lexer.words(data, offs)
+                for n in lengths:
+                    if len(h) < n:
+                        continue
+                    for at, fp in places(h, n, fp_bits, run_bits, woff):
+                        doc = np.searchsorted(woff, at, "right") - 1
+                        own = pa.array(lo + doc)
+                        words = [_words(data, starts, ends, p, n) for p in at.tolist()]
+                        cols = [ids.take(own), th.take(own), pa.array((at - woff[doc]).astype(np.int64)), pa.array(np.full(len(at), n)), pa.array(fp.view(np.int64)), pa.array(words, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, ["id", "th", "p", "n", "fp", "words"])
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
-    block, held = [], 0
-    for item, text in benchmark.select(item_col, text_col).toLocalIterator():
-        n = len((text or "").encode())
-        if block and held + n > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += n
-    if block:
-        yield block
+    return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, payload: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, payload: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the columns named in ``payload`` as ``p_0`` on."""
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"p_{i}") for i, c in enumerate(payload)))
-    kind = ", ".join([RESULT, *(f"p_{i} {docs.schema[f'p_{i}'].dataType.simpleString()}" for i in range(len(payload)))])
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first = next(blocks, [])
-    second = next(blocks, None)
-    made = sc.broadcast(index_block(first, window, gram))
-    if second is None:
-        return docs.mapInArrow(_scan(made, keyed=False), kind)
-    docs = settle(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "documents")
-    plain, parts = docs.select("row", "doc_id", "text"), []
-    while second is not None:
-        parts.append(settle(plain.mapInArrow(_scan(made, keyed=True), SPANS), "spans"))
-        made.unpersist()
-        made, second = sc.broadcast(index_block(second, window, gram)), next(blocks, None)
-    parts.append(settle(plain.mapInArrow(_scan(made, keyed=True), SPANS), "spans"))
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    # One row per block and document: a group is as small as the number of blocks.
-    united = every.groupBy("row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-    def digest(batches):
-        for b in batches:
-            n_words, spans, items = (b.column(i).to_pylist() for i in range(1, 4))
-            rest = b.select([0, 1, *range(4, b.num_columns)])
-            yield _digest(b.column(0), n_words, [[(x >> 5, x & 31) for x in s] for s in spans], [set(x) for x in items], rest)
-
-    return docs.drop("text").join(united, "row").select("doc_id", "n_words", "spans", "items", *(f"p_{i}" for i in range(len(payload)))).mapInArrow(digest, kind)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    runs = settle(items.mapInArrow(_item_runs(window, gram), "item string, n long, fp long, h long, words binary").distinct(), "runs")
+    # At most one length per window size.
+    lengths = sorted(r[0] for r in runs.select("n").distinct().collect())
+    sent = docs.sparkSession.sparkContext.broadcast((bloom.build(runs.select("fp")), bloom.build(runs.select("h"))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), *(F.col(c).alias(f"p_{i}") for i, c in enumerate(payload)))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    may = settle(keyed.mapInArrow(_shared_runs(sent, lengths, window, gram), "id long, th long, p long, n long, fp long, words binary"), "candidates")
+
+    key = ["id", "th"]
+    hits = settle(may.join(settle(runs.select("fp", "words").distinct(), "words"), ["fp", "words"], "left_semi"), "hits")
+    # Spans in order: a span adds what lies beyond those before it.
+    spans = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("p", (F.col("p") + F.col("n")).alias("e")))).alias("s"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    add = lambda x, s: F.struct((x.n + F.greatest(F.lit(0).cast("long"), s.e - F.greatest(s.p, x.upto))).alias("n"), F.greatest(x.upto, s.e).alias("upto"))
+    covered = spans.select(*key, F.aggregate("s", zero, add, lambda x: x.n).alias("n_hit"))
+    found = hits.select(*key, "fp", "words").distinct().join(runs.where("item is not null").select("fp", "words", "item"), ["fp", "words"]).select(*key, "item").distinct()
+    of = found.groupBy(*key).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ",").cast("binary"), 256).alias("items_sha256"))
+    each = settle(covered.join(of, covered["id"].eqNullSafe(of["id"]) & (covered["th"] == of["th"]), "left").select(covered["id"], covered["th"], "n_hit", "n_items", "items_sha256"), "contaminated")
+    out = rows.join(each, rows["doc_id"].eqNullSafe(each["id"]) & (rows["th"] == each["th"]), "left")
+    zero, none = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    result = {"n_hit": F.coalesce("n_hit", zero), "n_items": F.coalesce("n_items", zero), "items_sha256": F.coalesce("items_sha256", none), "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False))}
+    return out.select("doc_id", "n_words", *(v.alias(k) for k, v in result.items()), *(f"p_{i}" for i in range(len(payload))))
 
 
 ORACLE_SQL = r"""
