@@ -279,10 +279,13 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
 # Decontamination
 
 
-def test_blocks_of_the_benchmark_are_united(spark):
+@pytest.mark.parametrize("window", [1, 10, 40])
+def test_shared_runs_against_brute_force(spark, window):
+    """Repeated rows, items that share runs, and windows longer than most items."""
     rnd = random.Random(5)
     word = lambda: rnd.choice("abcdefghijkl") * rnd.randint(1, 2)
-    items = [" ".join(word() for _ in range(rnd.choice((1, 3, 9, 10, 14, 30)))) for _ in range(30)] + [None, "--"]
+    items = [" ".join(word() for _ in range(rnd.choice((1, 3, 9, 10, 14, 30, 60)))) for _ in range(30)] + [None, "--"]
+    items += [items[0], items[1] + " " + items[2], items[5].upper()]
     docs = []
     for _ in range(60):
         w = [word() for _ in range(rnd.randint(0, 60))]
@@ -295,7 +298,7 @@ def test_blocks_of_the_benchmark_are_united(spark):
         hit, of = set(), set()
         for k, item in enumerate(items):
             x = ALNUM.findall(fold(item))
-            n = min(10, len(x))
+            n = min(window, len(x))
             runs = {tuple(x[i : i + n]) for i in range(len(x) - n + 1)} if n else set()
             for i in range(len(w) - n + 1):
                 if n and tuple(w[i : i + n]) in runs:
@@ -304,9 +307,8 @@ def test_blocks_of_the_benchmark_are_united(spark):
         want.append((len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit)))
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for size in (1 << 20, 60):
-        got = {r.doc_id: tuple(r)[1:] for r in decontaminate.decontaminate(d, b, block_bytes=size).collect()}
-        assert got == dict(enumerate(want))
+    got = decontaminate.decontaminate(d.unionAll(d), b, window=window, gram=min(5, window)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, *w) for i, w in enumerate(want) for _ in range(2))
 
 
 # Language
@@ -326,6 +328,16 @@ def test_texts_without_letters_are_und(spark):
     assert found[1].lang_pred != "und"
 
 
+def test_sample_is_bounded_by_rows(spark):
+    """One document repeated, and one id with many texts."""
+    same = [(3, "the same text again and again", "en")] * 500 + [(3, f"ein anderer Text mit der Zahl {i} und mehr", "de") for i in range(500)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample=40, centroids=2)
+    assert model["langs"] == ["de", "en"] and [int(x) for x in np.bincount(model["owner"])] == [2, 1]
+    got = {r.lang_pred for r in language_id.identify(docs.where("lang = 'en'"), model).collect()}
+    assert got == {"en"}
+
+
 FOREIGN = {
     "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
     "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
