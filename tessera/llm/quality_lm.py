@@ -50,9 +50,9 @@ from tessera.llm.lexer import alnum_lexer, mix, text_parts
 FREQUENT = 1 << 18
 HOT = 1 << 20
 #: Trusted tokens per shard.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Tokens that a task sorts at once.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 QUANTILE = 0.995
 PRIOR = 20
 #: Up to so many trusted ids are broadcast; more meet their texts in one shuffle.
@@ -336,7 +336,7 @@ def _requests(model, id_kind: pa.DataType):
                 of = rows[of]
                 low = int(of.min()) if len(of) else 0
                 shard, name = _shard(key, shards), _name(key)
-                order = np.lexsort((of, name, shard))
+                order = np.argsort(shard.astype(np.uint64) << np.uint64(48) | name) if shards < 1 << 16 else np.lexsort((name, shard))
                 shard, name, of = shard[order], name[order], of[order] - low
                 cut = np.searchsorted(shard, np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cut)):
@@ -395,15 +395,18 @@ def _answers(model, id_kind: pa.DataType):
         words, names, values = [], [], []
         table = None
         for batch in batches:
-            for s, kind in sorted(set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))):
-                part = batch.filter(pa.array((batch.column(0).to_numpy() == s) & (batch.column(1).to_numpy() == kind)))
+            of_shard, of_kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.flatnonzero(np.r_[True, (of_shard[1:] != of_shard[:-1]) | (of_kind[1:] != of_kind[:-1])][: batch.num_rows])
+            for at, until in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True):
+                part, s, kind = batch.slice(at, until - at), int(of_shard[at]), int(of_kind[at])
                 if s != shard:
                     shard, words, names, values, table = s, [], [], [], None
                 if kind == WORD:
-                    words.append([part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5)])
+                    # Copies, so that the batch is not kept.
+                    words.append([np.array(part.column(i).to_numpy(zero_copy_only=False)) for i in (2, 3, 4, 5)])
                 elif kind == RARE:
                     names.append(_name(part.column(2).to_numpy().view(np.uint64)))
-                    values.append(part.column(3).to_numpy())
+                    values.append(np.array(part.column(3).to_numpy()))
                 elif kind == COUNTS:
                     known = [np.concatenate(x) for x in zip(*words, strict=True)] if words else [np.zeros(0, np.int64)] * 4
                     order = np.argsort(known[0])
@@ -421,12 +424,12 @@ def _answers(model, id_kind: pa.DataType):
                     for low, blob in zip(part.column(2).to_pylist(), part.column(6), strict=True):
                         step, of = _unpack(blob.as_py(), np.uint64, np.int64)
                         name = np.cumsum(step)
-                        at = np.minimum(np.searchsorted(table[0], name), len(table[0]) - 1)
-                        hit = table[0][at] == name
+                        place = np.minimum(np.searchsorted(table[0], name), len(table[0]) - 1)
+                        hit = table[0][place] == name
                         if not hit.any():
                             continue
                         docs, where = np.unique(of[hit], return_inverse=True)
-                        yield _stream(len(docs), id_kind, {3: pa.array(np.bincount(where, table[1][at[hit]], len(docs))), 7: pa.array(docs + low)})
+                        yield _stream(len(docs), id_kind, {3: pa.array(np.bincount(where, table[1][place[hit]], len(docs))), 7: pa.array(docs + low)})
                 else:
                     yield _stream(part.num_rows, id_kind, dict(enumerate(part.columns)))
 
