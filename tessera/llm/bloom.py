@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.lexer import mix
 
-#: The filter holds 2^BITS bits (8 MB), whatever the number of keys.
-BITS = 26
+#: The filter holds 2^BITS bits (16 MB), whatever the number of keys.
+BITS = 27
 #: Parts in which it is put together.
 _PART = 20
 _FLUSH = 1 << 20

@@ -41,25 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write between stages: its shuffles are removed with its end, not when the driver happens to collect
+#: garbage, and Python workers get batches of bounded size, however long the texts are.
+_WHILE_SETTLING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors.
-
-    The shuffles of the write are removed with its end, not when the driver happens to collect garbage.
-    """
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_SETTLING}
+    for k, v in _WHILE_SETTLING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
