@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,34 @@ def export_view(files: DataFrame, budget: int) -> DataFrame:
         p = F.when(F.col("path").startswith(start), rank).otherwise(p)
     rows = files.select("path", p.cast("long").alias("priority"), F.floor(F.length("content") / 4).cast("long").alias("tokens"))
     return rows.withColumn("kept", F.sum("tokens").over(Window.orderBy("priority", "path")) <= budget)
+
+
+def graph_summary(modules: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: nodes, edges, layers and nodes without an edge."""
+    ends = links.select(F.col("source").alias("path")).union(links.select("target")).distinct()
+    alone = modules.join(ends, "path", "left_anti").agg(F.count("*").alias("isolated"))
+    n = modules.agg(F.count("*").alias("nodes"), F.countDistinct("layer").alias("layers"))
+    return n.join(links.agg(F.count("*").alias("edges"))).join(alone)
+
+
+def wiki_pages(rows: DataFrame, topic: str, item: str) -> DataFrame:
+    """(topic, page): a heading and its items, one row per topic."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return rows.groupBy(topic).agg(F.concat(F.lit("## "), F.first(topic), F.lit("\n"), listed).alias("page"))
+
+
+def architecture(modules: DataFrame, links: DataFrame) -> DataFrame:
+    """(ord, line): one diagram line per pair of layers with a link; as many rows as pairs of layers."""
+    layer = lambda side: modules.select(F.col("path").alias(side), F.col("layer").alias(side[0]))
+    pairs = links.select("source", "target").join(layer("source"), "source").join(layer("target"), "target").where("s <> t").select("s", "t").distinct()
+    return pairs.select(F.row_number().over(Window.orderBy("s", "t")).cast("long").alias("ord"), F.concat(F.lit("    "), "s", F.lit(" --> "), "t").alias("line"))
+
+
+def table_row(*columns: str) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in columns)), F.lit(" |"))
+
+
+def erd_entities(columns: DataFrame) -> DataFrame:
+    """(entity, columns): the column lines of each entity (entity, name, type)."""
+    line = F.concat(F.lit("    "), "name", F.lit(" "), "type")
+    return columns.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("columns"))

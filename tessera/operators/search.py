@@ -79,3 +79,10 @@ def keyword_pages(pages: DataFrame, words: list[str], text_col: str, id_col: str
     count = lambda w: ((F.length(text) - F.length(F.replace(text, F.lit(w)))) / len(w)).cast("long")
     score = sum((count(w.lower()) for w in words if len(w) > 2), F.lit(0))
     return pages.select(F.col(id_col).alias("id"), F.coalesce(score, F.lit(0)).cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+
+
+def entity_texts(symbols: DataFrame, modules: DataFrame, symbol_prefix: str = "symbol:", module_prefix: str = "module:") -> DataFrame:
+    """(entity_id, entity_type, text): what is indexed of symbols (id, kind, name, file) and modules (id, name, n_exports)."""
+    of = lambda df, prefix, kind, *text: df.select(F.concat(F.lit(prefix), "id").alias("entity_id"), F.lit(kind).alias("entity_type"), F.concat(*text).alias("text"))
+    s = of(symbols, symbol_prefix, "symbol", F.col("kind"), F.lit(" "), F.col("name"), F.lit(" in "), F.col("file"))
+    return s.unionByName(of(modules, module_prefix, "module", F.lit("module "), F.col("name"), F.lit(" exports "), F.col("n_exports").cast("string")))

@@ -586,3 +586,10 @@ def svg_layout(spark, d):
 def export_view(spark, d):
     files = table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.concat("p_name", "p_type").alias("content"))
     return render.export_view(files, 1000)
+
+
+from tessera.plans import catalogue_docs, catalogue_repo  # noqa: E402
+
+for _more in (catalogue_repo, catalogue_docs):
+    QUERIES |= _more.QUERIES
+    ORACLE_SQL |= _more.ORACLE_SQL
