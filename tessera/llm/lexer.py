@@ -125,7 +125,11 @@ def alnum_lexer() -> Lexer:
 
 
 def text_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows ``lo`` to ``hi`` of a string column with their bytes and offsets, about ``SLICE`` bytes at a time."""
+    """Rows ``lo`` to ``hi`` of a string column with their bytes and offsets, about ``SLICE`` bytes at a time.
+
+    What batches before have left in Arrow's pool is handed back first.
+    """
+    pa.default_memory_pool().release_unused()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
