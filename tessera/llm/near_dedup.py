@@ -189,7 +189,8 @@ def _shingled(shingle: int):
 
 def _sets(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
     """(node, s): the elements of each node of ``named`` (node, id, th); one row per node."""
-    docs = docs.where(may_match(named.select("th"), F.col("th")))
+    # The hint keeps the filter's Python workers and those of the next step in stages of their own.
+    docs, named = docs.where(may_match(named.select("th"), F.col("th"))), named.hint("merge")
     texts = docs.join(named, docs["id"].eqNullSafe(named["id"]) & (docs["th"] == named["th"])).select("node", "text")
     sets = settle(texts.mapInArrow(_shingled(shingle), "node long, s array<long>"), "sets")
     # A row that repeats another in id and text gives its node again in another task.

@@ -148,7 +148,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
 
     lengths = levels(window, base)
     each = settle(ctx.select("x.*", "m", "h").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "more", "off", "m", "h")).alias("ctx")), "extended")
-    rows = docs.where(may_match(each.select("th"), F.col("th"))).join(each, KEY).select("id", "th", "text", "ctx")
+    # The hint keeps the filter's Python workers and those of the next step in stages of their own.
+    rows = docs.where(may_match(each.select("th"), F.col("th"))).join(each.hint("merge"), KEY).select("id", "th", "text", "ctx")
     kind = "id long, th long, lo int, m long, h long, " + ", ".join(f"h{x} long" for x in lengths)
     cand = settle(rows.mapInArrow(_extended(window, base, lengths), kind), "windows")
     for x in lengths:
