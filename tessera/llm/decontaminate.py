@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.llm import bloom
 from tessera.llm.common import settle
@@ -32,8 +33,6 @@ from tessera.llm.lexer import alnum_lexer, grams, inside, mix, text_parts
 
 WINDOW = 10
 GRAM = 5
-#: Words as in ``lexer.alnum_lexer``, of texts whose A-Z are not yet lower.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 #: Runs that a task turns into text at once.
 _CHUNK = 20_000
@@ -120,6 +119,15 @@ def _shared_runs(filters, lengths: list[int], window: int, gram: int):
     return run
 
 
+@F.arrow_udf(LongType())
+def _counted(texts: pa.Array) -> pa.Array:
+    """The number of words of each text."""
+    lexer, found = alnum_lexer(), [np.zeros(0, np.int64)]
+    for _, _, data, offs in text_parts(texts):
+        found.append(np.diff(lexer.words(data, offs)[3]))
+    return pa.array(np.concatenate(found))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, payload: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the columns named in ``payload`` as ``p_0`` on."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
@@ -128,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lengths = sorted(r[0] for r in runs.select("n").distinct().collect())
     sent = docs.sparkSession.sparkContext.broadcast((bloom.build(runs.select("fp")), bloom.build(runs.select("h"))))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), *(F.col(c).alias(f"p_{i}") for i, c in enumerate(payload)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), _counted(text).alias("n_words"), *(F.col(c).alias(f"p_{i}") for i, c in enumerate(payload)))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     may = settle(keyed.mapInArrow(_shared_runs(sent, lengths, window, gram), "id long, th long, p long, n long, fp long, words binary"), "candidates")
 
