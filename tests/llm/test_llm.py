@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -390,8 +391,47 @@ def test_min_cut_is_minimal():
         n = rnd.randint(1, 9)
         leans = [rnd.randint(-10, 10) for _ in range(n)]
         edges = [(i, j, rnd.randint(0, 8)) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.4]
-        got = html_extract.min_cut(leans, edges)
-        assert cut_cost(leans, edges, got) == min(cut_cost(leans, edges, x) for x in itertools.product((False, True), repeat=n))
+        every = {x: cut_cost(leans, edges, x) for x in itertools.product((False, True), repeat=n)}
+        least = min(every.values())
+        most = max((x for x, cost in every.items() if cost == least), key=sum)
+        for fold in (6, 0):
+            html_extract._FOLD = fold
+            got = html_extract.min_cut(leans, edges)
+            html_extract._FOLD = 6
+            assert every[tuple(got)] == least
+            # Of several, the one with most content, whichever way it is found.
+            assert tuple(got) == most
+
+
+def test_long_weak_pages_take_time_in_proportion():
+    rnd = random.Random(3)
+    n = 8000
+    blocks = [("", 0, "p", 0, False, rnd.randrange(n // 4) if rnd.random() < 0.3 else i // 5) for i in range(n)]
+    leans = [rnd.randint(-900, 900) for _ in range(n)]
+    began = time.perf_counter()
+    html_extract.min_cut(leans, html_extract.edges_of([(*b[:5], i // 5) for i, b in enumerate(blocks)]))
+    assert time.perf_counter() - began < 2
+
+
+def test_extract_is_the_best_of_all_labellings():
+    """Pages of up to 11 blocks against every labelling under the same costs."""
+    rnd = random.Random(13)
+    say = lambda k: " ".join(rnd.choice(("word", "other", "more", "text", "here")) for _ in range(k)).capitalize()
+    opens = ['<div class="notice-board-history">', "<div>", '<div class="ad">', "<section id=main-story>", '<ul class="menu-items-of-old">', "<aside>"]
+    for _ in range(150):
+        page, depth = [], []
+        for _ in range(rnd.randint(1, 9)):
+            if rnd.random() < 0.5:
+                page.append(rnd.choice(opens))
+                depth.append(re.match(r"<(\w+)", page[-1])[1])
+            page.append(rnd.choice(("<p>{}.</p>", "<h2>{}</h2>", "<a href=x>{}</a><br>", "<li>{}")).format(say(rnd.randint(1, 30))))
+            if depth and rnd.random() < 0.4:
+                page.append(f"</{depth.pop()}>")
+        blocks = html_extract.blocks_of("".join(page))
+        leans, edges = [html_extract.lean(b) for b in blocks], html_extract.edges_of(blocks)
+        every = {x: cut_cost(leans, edges, x) for x in itertools.product((False, True), repeat=len(blocks))}
+        best = max((x for x, cost in every.items() if cost == min(every.values())), key=sum)
+        assert html_extract.extract("".join(page)) == "\n".join(b[0] for b, keep in zip(blocks, best, strict=True) if keep)
 
 
 @pytest.mark.parametrize(
@@ -403,6 +443,10 @@ def test_min_cut_is_minimal():
         ("<body><header><p>Site name here.</p></header><div id=content><h1>Ti&amp;tle</h1><p>A  long\nparagraph of the article itself.</p></div><aside class=sidebar><p>Read also many other things here.</p></aside></body>", "Ti&tle\nA long paragraph of the article itself."),
         ("<main><p>The first paragraph of it.</p><div class='ad-box'>Buy now and save a lot of money.</div><script>var a='</p>';</script><p>Short.</p></main><div id='comments'><p>A reader wrote this remark about it.</p></div>", "The first paragraph of it.\nShort."),
         ("<article><form><label>Mail</label><input></form><p>Text of <b>an <i>article</b> here.<p>And more<br>of it &copy; today.", "Text of an article here.\nAnd more of it © today."),
+        ('<div class="entry-content"><p>The contract ends as agreed by both.</p><div class="notice-period"><p>The notice period is three months for both.</p></div></div>', "The contract ends as agreed by both.\nThe notice period is three months for both."),
+        ('<article><p>It holds that <math><mi>a</mi><mo>=</mo><mn>1</mn></math> for all of these.</p></article>', "It holds that a=1 for all of these."),
+        ("<article><p>Before the list of things there.</p><select><option>one<p>After the list there is more of it.</p></article>", "Before the list of things there.\none\nAfter the list there is more of it."),
+        ('<article><p>The text of the article is here.</p><div class="comments-area"><p>A reader wrote this remark about it.</p></div><div class="related-posts"><p>Read also this other thing of ours.</p></div></article>', "The text of the article is here."),
         ("<article><p>Seen text is right here.</p><!-- <p>gone</p> --><style>p{}</style><p hidden>Not shown at all here.</p></article", "Seen text is right here."),
     ],
 )
@@ -524,6 +568,28 @@ def test_whole_texts_and_lines(spark):
     assert got[4][1] == "MIT"
 
 
+def test_whole_texts_are_known_in_any_spelling(spark):
+    texts = {name: text for name, _, text in licenses.LICENCES if len(text) > 300}
+    other = lambda t: t.upper().replace("LICENSE", "Licence").replace("COPYRIGHT HOLDER", "copyright owner").replace("NONINFRINGEMENT", "non-infringement").replace(". ", ".\n").replace(",", " ,")
+    data = [(i, make(t), name) for i, (name, t) in enumerate(sorted(texts.items())) for make in (str, other, lambda t: "Copyright (c) 2024 Jane Doe\n\n" + t, lambda t: t + " And more.")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, name string")
+    got = [r.licence for r in licenses.scan(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")).orderBy("doc_id").collect()]
+    want = [None if j % 4 == 3 else name for j, (_, _, name) in enumerate(data)]
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no published texts here")
+def test_digests_of_published_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    data = []
+    for file, name in names.items():
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            text = f.read()
+        data += [(len(data), text, name), (len(data) + 1, " ".join(text.replace("license", "licence").split(" ")), name), (len(data) + 2, text[:-60], None)]
+    found = licenses.scan(spark.createDataFrame(data, "doc_id long, text string, name string")).orderBy("doc_id").collect()
+    assert [r.licence for r in found] == [name for _, _, name in data]
+
+
 # Quality
 
 
