@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pandas as pd
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration with a checkpoint in the session's shared folder."""
+    """Cuts the lineage of an iteration with a checkpoint in the session's shared folder; only a local master may do without the setting."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}/{uuid.uuid4().hex}")
     return df.checkpoint()
 
@@ -65,10 +66,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     """(id, rank), normalised to a sum of 1. Mass of nodes without out-edges is lost in each round; every edge counts once."""
     n = nodes.count()
     links = edges.select("source", "target").join(edges.groupBy("source").agg(F.count("*").alias("out")), "source")
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    # Links stay where their source's rank is, so a round deals out nothing but what nodes hand on.
+    links = _cut(links.repartition("source"))
+    start = _cut(nodes.select("id", F.lit(0.0).alias("got")).repartition("id"))
+    rank = start.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
-        got = links.join(rank, links["source"] == rank["id"]).groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        rank = nodes.select("id").join(got, F.col("id") == F.col("target"), "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        got = links.join(rank, links["source"] == rank["id"]).select(F.col("target").alias("id"), (F.col("rank") / F.col("out")).alias("got"))
+        got = got.unionByName(start).groupBy("id").agg(F.sum("got").alias("got"))
+        rank = got.select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.col("got")).alias("rank"))
         if i % 5 == 4:
             rank = _cut(rank)
     total = rank.agg(F.sum("rank").alias("total"))

@@ -75,8 +75,12 @@ def security_findings(docs: DataFrame, id_col: str, text_col: str, rules=SECURIT
 
     A hit below a heading of anti-patterns (within 30 lines), or with a warning word in
     the 15 lines before it or on it, is ``low``, and ``info`` inside a code fence as well.
-    Lines without any hit leave before rules are told apart.
+    Texts without any hit leave before they are cut into lines, lines without one before
+    rules are told apart.
     """
+    rules = [r for r in rules if r[0] not in allow]
+    # A line that is hit is hit in the whole text as well.
+    docs = docs.where(F.lower(text_col).rlike("(?m)" + "|".join(f"(?:{p})" for *_, p in rules)))
     rows = lines(docs, id_col, text_col)
     w = Window.partitionBy("id").orderBy("line_number")
     fence = F.trim("line").startswith("```")
@@ -91,7 +95,6 @@ def security_findings(docs: DataFrame, id_col: str, text_col: str, rules=SECURIT
     # An unclosed last fence makes no block.
     in_code = fence | ((F.col("fences") % 2 == 1) & ~((F.col("all_fences") % 2 == 1) & (F.col("fences") == F.col("all_fences"))))
     context = F.coalesce(F.col("heading").rlike(ANTI_HEADINGS), F.lit(False)) | F.col("warned")
-    rules = [r for r in rules if r[0] not in allow]
     found = F.filter(F.array(*(F.when(F.lower("line").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for i, c, s, p in rules)), lambda x: x.isNotNull())
     rows = rows.where(F.lower("line").rlike("|".join(f"(?:{p})" for *_, p in rules)))
     rows = rows.select("id", "line_number", "line", context.alias("context"), in_code.alias("code"), F.explode(found).alias("r"))
