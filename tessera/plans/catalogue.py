@@ -621,8 +621,8 @@ def export_view(spark, d):
     return render.export_view(files, 1000)
 
 
-from tessera.plans import catalogue_docs, catalogue_repo  # noqa: E402
+from tessera.plans import catalogue_code, catalogue_docs, catalogue_repo  # noqa: E402
 
-for _more in (catalogue_repo, catalogue_docs):
+for _more in (catalogue_repo, catalogue_docs, catalogue_code):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL

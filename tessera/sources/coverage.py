@@ -82,8 +82,12 @@ PARSERS = {"cobertura": parse_cobertura, "lcov": parse_lcov, "coverage_py": pars
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all reports below ``path``; files of no known format give none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").cast("string").alias("text"))
+    """Rows of all reports below ``path``."""
+    return parse_reports(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").cast("string").alias("text")))
+
+
+def parse_reports(files: DataFrame) -> DataFrame:
+    """Rows of the reports among ``files`` (path, text); files of no known format give none."""
 
     def run(batches):
         for pdf in batches:

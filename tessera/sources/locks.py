@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tomllib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,13 +60,40 @@ def parser_of(path: str):
         return parse_package_lock
     if name in ("uv.lock", "poetry.lock", "Cargo.lock"):
         return parse_toml_lock
+    if name == "package.json":
+        return parse_package_json
+    if name in ("pyproject.toml", "Cargo.toml"):
+        return parse_toml_manifest
     if name == "go.mod":
         return parse_go_mod
     return parse_requirements if re.fullmatch(r"requirements.*\.txt", name) else None
 
 
+def parse_package_json(text: str) -> list[tuple]:
+    """Direct dependencies of a package manifest, development ones as well."""
+    found = json.loads(text)
+    return [("npm", name, str(version), 1) for key in ("dependencies", "devDependencies") for name, version in (found.get(key) or {}).items()]
+
+
+def parse_toml_manifest(text: str) -> list[tuple]:
+    """Direct dependencies of a Python project or a crate: requirement strings, or tables of names."""
+    found, out = tomllib.loads(text), []
+    for spec in found.get("project", {}).get("dependencies", []):
+        m = re.match(r"([A-Za-z0-9][\w.\-]*)\s*(?:\[[^\]]*\])?\s*(.*)", spec)
+        out.append(("pypi", m[1], m[2].split(";")[0].strip(), 1))
+    tables = [("pypi", found.get("tool", {}).get("poetry", {}).get("dependencies", {}))] + [("cargo", found.get(k, {})) for k in ("dependencies", "dev-dependencies")]
+    for kind, table in tables:
+        out += [(kind, name, v if isinstance(v, str) else str(v.get("version", "")), 1) for name, v in table.items() if name != "python"]
+    return out
+
+
 def read_locks(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").cast("string").alias("text"))
+    """Packages of all lock files and manifests below ``path``."""
+    return parse_locks(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").cast("string").alias("text")))
+
+
+def parse_locks(files: DataFrame) -> DataFrame:
+    """Packages of the lock files and manifests among ``files`` (path, text)."""
 
     def run(batches):
         for pdf in batches:

@@ -6,7 +6,7 @@ from oracle import compare, connect
 from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-EMPTY_OK = {"bus_factor_risks", "injection_scan", "event_streak"}
+EMPTY_OK = {"event_streak"}
 
 
 @pytest.fixture(scope="module")

@@ -52,8 +52,9 @@ def test_complexity(found):
 
 
 def test_module_rank_and_size(spark):
-    m = spark.createDataFrame([("src/core/user_service.py", ["a", "b"], "hint"), ("utils.py", ["a"], None), ("tests/test_x.py", [], None)], "path string, exports array<string>, summary_hint string")
-    assert dict(rows(code.rank_modules(m), "path", "score")) == {"src/core/user_service.py": 20, "utils.py": -8, "tests/test_x.py": -15}
+    m = [("src/services/service.py", ["a", "b"], "hint"), ("lib/constants.py", ["a"], None), ("lib/types.ts", ["a"], "hint"), ("tests/test_x.py", [], None), ("web/index.ts", list("abcdef"), None)]
+    m = spark.createDataFrame(m, "path string, exports array<string>, summary_hint string")
+    assert dict(rows(code.rank_modules(m), "path", "score")) == {"src/services/service.py": 20, "lib/constants.py": -13, "lib/types.ts": -5, "tests/test_x.py": -15, "web/index.ts": -6}
     one = code.size_class(spark.createDataFrame([(f"f{i}", "main") for i in range(21)], "path string, layer string")).first()
     assert (one["size"], one["chapters"], one["files"]) == ("medium", 7, 21)
 
