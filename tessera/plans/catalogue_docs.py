@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import filters
 from tessera.functions import text as ft
 from tessera.operators import checks as C
 from tessera.operators import modules, render, search
+from tessera.sources import stores
 from tessera.sources.tables import REPO_SQL, repo_map, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -219,3 +221,58 @@ def report_rows(spark, d):
 def erd_entities(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("entity"), F.col("c_mktsegment").alias("name")).agg(F.count("*").cast("string").alias("type"))
     return render.erd_entities(rows)
+
+
+# Predicates, stores
+
+_PATHS = "p AS (SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'a/README.md' WHEN 1 THEN 'a/b.py' WHEN 2 THEN 'x/tests/y.rs' WHEN 3 THEN 'tests/z.py' WHEN 4 THEN 'k/test_z.py' WHEN 5 THEN 'k/z.spec.ts' WHEN 6 THEN '.gitignore' WHEN 7 THEN 'img/A.PNG' ELSE 'k/z.test.tsx' END AS path FROM part)"
+
+
+@query(f"WITH {_PATHS} SELECT id, path, path NOT IN ('a/README.md', '.gitignore', 'img/A.PNG') AS is_code, path IN ('x/tests/y.rs', 'k/test_z.py', 'k/z.spec.ts', 'k/z.test.tsx') AS is_test FROM p")
+def path_predicates(spark, d):
+    names = ("a/README.md", "a/b.py", "x/tests/y.rs", "tests/z.py", "k/test_z.py", "k/z.spec.ts", ".gitignore", "img/A.PNG", "k/z.test.tsx")
+    path = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), path.alias("path"))
+    return rows.select("id", "path", filters.is_code_file(F.col("path")).alias("is_code"), filters.is_test_module(F.col("path")).alias("is_test"))
+
+
+@query("SELECT p_partkey AS id, p_size % 4 = 0 AS is_skill FROM part")
+def skill_candidates(spark, d):
+    size = F.col("p_size") % 4
+    text = F.when(size == 0, F.concat(F.lit("---\nkind: x\nname: "), "p_name", F.lit("\n---\nbody"))).when(size == 1, "---\nkind: x\n---\nname: y\n").when(size == 2, F.col("p_name")).otherwise(F.lit(None))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), filters.is_skill(text).alias("is_skill"))
+
+
+@query("SELECT event_id AS id, event_type AS fact_type FROM events WHERE event_type IN ('click', 'view')")
+def chapter_facts(spark, d):
+    # Views stand for endpoints, clicks for ports; both belong to the chapter.
+    events = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", F.when(F.col("event_type") == "view", "endpoint").when(F.col("event_type") == "click", "port").otherwise("version").alias("fact_type"))
+    return filters.facts_for("06-api-reference.md", events).select("id", F.col("event_type").alias("fact_type"))
+
+
+@query("SELECT p_brand AS page, p_name AS type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ord FROM part WHERE p_size % 3 > 0")
+def enabled_sections(spark, d):
+    return filters.enabled_sections(table(spark, d, "part").select(F.col("p_brand").alias("page"), F.col("p_name").alias("type"), F.col("p_partkey").alias("position"), (F.col("p_size") % 3 > 0).alias("enabled")))
+
+
+@query("SELECT p_brand AS file, p_partkey AS line, p_size > 25 AS is_stale, row_number() OVER (PARTITION BY p_brand ORDER BY p_size > 25 DESC, p_partkey) AS place FROM part")
+def stale_decisions(spark, d):
+    return filters.stale_first(table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), (F.col("p_size") > 25).alias("is_stale")))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS key_hash, min(conv_id) AS first, count(*) AS uses FROM conversations GROUP BY 1")
+def response_cache(spark, d):
+    return stores.cache_entries(table(spark, d, "conversations"), F.col("text"), "conv_id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size % 2 = 1 OR p_partkey % 5 = 0")
+def changed_entries(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("hash"))
+    old = part.where("id % 5 <> 0").withColumn("hash", F.when(F.col("hash") % 2 == 1, F.lit(None)).otherwise(F.col("hash")))
+    return stores.changed_keys(old, part, "id", "hash")
+
+
+@query("SELECT 'u' || user_id AS name, 'r/' || max_by(event_id, event_id) AS path, count(*) AS n_changes FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'error'")
+def repository_registry(spark, d):
+    e = table(spark, d, "events")
+    return stores.registry(e.select(F.col("event_id").alias("at"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.concat(F.lit("r/"), F.col("event_id").cast("string")).alias("path")))

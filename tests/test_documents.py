@@ -40,3 +40,15 @@ def test_manifest_and_progress(spark):
     assert rows(documents.first_passing(scores), "id", "iterations") == [(1, 2), (2, 3)]
     found = spark.createDataFrame([(1, "r", 5, 0.5), (1, "q", 9, 0.5), (1, "z", 1, 0.1)], "query_id long, repo string, id long, score double")
     assert rows(documents.search_repositories(found, 2), "repo", "rank") == [("q", 1), ("r", 2)]
+
+
+def test_stores_replace_partitions(spark, tmp_path):
+    from tessera.functions import filters
+    from tessera.sources import stores
+
+    path = f"file://{tmp_path}/pages"
+    stores.save(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "repo string, page long"), path, ["repo"])
+    stores.save(spark.createDataFrame([("a", 9)], "repo string, page long"), path, ["repo"])
+    assert sorted(tuple(r) for r in stores.load(spark, path).select("repo", "page").collect()) == [("a", 9), ("b", 3)]
+    facts = spark.createDataFrame([("port",), ("db_table",)], "fact_type string")
+    assert [filters.facts_for(c, facts).count() for c in ("index.md", "01-overview.md", "05-data-models.md", "own.md")] == [0, 1, 1, 2]
