@@ -14,6 +14,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(clean, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
 
 
+def n_tokens(text: Column) -> Column:
+    """How many ``tokens`` there are, without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r\f\x0B!-/:-@\[-`{-~]+"))
+
+
 def camel_tokens(text: Column) -> Column:
     return tokens(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
 

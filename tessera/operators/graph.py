@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration with a checkpoint in the session's shared folder; only a local master may do without the setting."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}/{uuid.uuid4().hex}")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

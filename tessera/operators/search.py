@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import n_tokens, tokens
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl): one row per document and term."""
+#: Up to so many terms of queries are looked for in place, so that other words never leave their text.
+FEW_TERMS = 20_000
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
+    """(id, term, tf, dl): one row per document and term; of all terms, or of those in ``only``."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    words = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    some = F.col("w") if only is None else F.filter("w", lambda x: x.isin(only))
+    words = words.select("id", F.size("w").alias("dl"), F.explode(some).alias("term"))
     return words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best documents per query; repeated query terms count again.
 
-    Only terms of queries leave the scan of the postings; the queries' terms are few, so
-    Spark may broadcast them, and a frequent term costs one row per document with it.
+    Only terms of queries leave the scan of the documents; a frequent term costs one row per document with it.
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    post = postings(docs, id_col, text_col)
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text_col)))).alias("avg_dl"))
-    post = post.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = terms.select("term").distinct()
+    few = [r[0] for r in asked.limit(FEW_TERMS + 1).collect()]
+    post = postings(docs, id_col, text_col, few) if len(few) <= FEW_TERMS else postings(docs, id_col, text_col).join(asked, "term", "left_semi")
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(n_tokens(F.col(text_col))).alias("avg_dl"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     rows = terms.join(df, "term").join(post, "term").crossJoin(F.broadcast(stats))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -7,16 +7,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_dir
+
 
 def daily_usage(spark: SparkSession, sf_dir: str, watermark: str = "2 days") -> DataFrame:
-    """Counts and sums per day of the events read as a stream; runs to the end of what is there."""
+    """Counts and sums per day of the events read as a stream; runs to the end of what is there.
+
+    Each batch appends the days that it changed to a table in the shared folder; of a day
+    the row of the last batch holds. The watermark lets go of days that are over.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}")
     days = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total_value"))
-    name = f"daily_{uuid.uuid4().hex}"
-    run = days.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    days = days.select(F.to_date("window.start").alias("day"), "n", "total_value")
+    path = f"{shared_dir(spark)}/tessera/daily-{uuid.uuid4().hex}"
+    save = lambda batch, i: batch.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(f"{path}/rows")
+    run = days.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.to_date("window.start").alias("day"), "n", "total_value")
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.groupBy("day").agg(F.max_by("n", "batch").alias("n"), F.max_by("total_value", "batch").alias("total_value"))
 
 
 def change_events(old: DataFrame, new: DataFrame) -> DataFrame:
