@@ -1,19 +1,21 @@
 """Exact dedup by deterministic block naming.
 
-Each normalised text is cut into fixed-size byte blocks. The distinct blocks are put
-in order by (64-bit bucket, bytes); the place in that order, written as the two
-integers ``b`` (bucket) and ``r`` (rank among the distinct blocks of that bucket), is
-the block's name. Adjacent names are then paired and the pairs named in the same
-way, level by level, until each document has one name. A name never stands for two
-contents: buckets with several contents are found by an exact distinct over the
-contents themselves and get ranks from sorting them.
+Each normalised text is cut into fixed-size byte blocks. A block's name is its place in the
+order of all distinct blocks by (64-bit bucket, bytes), written as two integers: ``b``, the
+bucket, a hash of the bytes, and ``r``, the rank of the bytes among the distinct contents of that bucket.
+Adjacent names are then paired and the pairs named in the same way, level by level,
+until each document has one name. A name never stands for two contents: buckets with
+several contents are found by an exact distinct over the contents themselves, and these
+are sorted for their ranks. Where a bucket holds one content, as nearly all do, its rank is 0
+without any sorting.
 
 Ranks other than 0 arise only in buckets with several contents, so one shuffle of
 the distinct contents decides a level, and only rows of such buckets are ever
 joined. Distinct and counts combine on the map side; a third of all rows with one
 text is a third of the rows nowhere but in the last join, which AQE splits.
 
-Nulls count as empty texts. Empty texts are equal to each other. Of rows equal in
+A text's blocks are one row, so a text and its blocks must fit a task. Nulls count as empty
+texts. Empty texts are equal to each other. Of rows equal in
 text and ``doc_id`` the first stays. Other columns are not read.
 """
 
