@@ -72,6 +72,34 @@ def test_odd_and_empty_tables(spark, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
 
 
+def by_id(df, *columns):
+    return sorted((tuple(r) for r in df.select("doc_id", *columns).collect()), key=repr)
+
+
+def test_values_of_the_odd_table(spark):
+    """What the docstrings say of nulls, empties, ties and repeated rows, operator by operator."""
+    docs = odd_docs(spark)
+    rows = lambda f: sorted([(1, *f(3)), (2, *f(0)), (3, *f(0)), (4, *f(3)), (4, *f(3)), (None, *f(3)), (5, *f(None)), (6, *f(2)), (7, *f(1))], key=repr)
+    near = by_id(OPERATORS["near"](docs), "class_id", "class_size", "kept")
+    assert near == sorted([(1, 1, 4, True), (2, 2, 1, True), (3, 3, 1, True), (4, 1, 4, False), (4, 1, 4, False), (None, 1, 4, False), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True)], key=repr)
+    # "!?" is one word where white space tells words apart and none where letters do.
+    assert by_id(OPERATORS["substring"](docs), "n_words", "n_removed") == rows(lambda n: (1 if n is None else n, 0))
+    assert by_id(OPERATORS["mix"](docs), "size") == rows(lambda n: (1 if n is None else n,))
+    mixed = OPERATORS["mix"](docs).collect()
+    assert all(0 <= r.taken <= 2 * r["size"] for r in mixed) and sum(r.taken for r in mixed) == round(1.5 * 16)
+    assert by_id(OPERATORS["licences"](docs), "licence", "line_licences") == rows(lambda n: (None, ""))
+    one = hashlib.sha256(b"1").hexdigest(), True
+    none = hashlib.sha256(b"").hexdigest(), False
+    assert by_id(OPERATORS["leaks"](docs), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == rows(lambda n: (3, 2, 1, *one) if n == 3 else (n or 0, 0, 0, *none))
+    judged = OPERATORS["quality"](docs)
+    assert by_id(judged, "n_words") == rows(lambda n: (n or 0,))
+    # Nothing is held out of so few texts, so whatever has words is kept.
+    assert by_id(judged, "kept") == rows(lambda n: (bool(n),))
+    assert all((r.perplexity is None) == (not r.n_words) for r in judged.collect())
+    pages = sorted((tuple(r) for r in OPERATORS["html"](docs).select("page_id", "text", "n_chars").collect()), key=repr)
+    assert [x[2] for x in pages] == [len(x[1]) for x in pages] and {x[1] for x in pages if x[0] in (2, 3)} == {""}
+
+
 # Lexer
 
 
