@@ -191,3 +191,8 @@ def convention_tests(changed: DataFrame, files: DataFrame) -> DataFrame:
 
 def untested(changed: DataFrame, tests: DataFrame) -> DataFrame:
     return changed.where(~is_test_file(F.col("path"))).join(tests, "path", "left_anti").select("path")
+
+
+def hotspots(functions: DataFrame, top: int = 10) -> DataFrame:
+    """The ``top`` functions (path, name, complexity) of highest complexity, a report."""
+    return functions.orderBy(F.desc("complexity"), "path", "name").limit(top).select("path", "name", "complexity")

@@ -91,3 +91,18 @@ def erd_entities(columns: DataFrame) -> DataFrame:
     """(entity, columns): the column lines of each entity (entity, name, type)."""
     line = F.concat(F.lit("    "), "name", F.lit(" "), "type")
     return columns.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("columns"))
+
+
+def top_diagram(degree: DataFrame, links: DataFrame, k: int = 20) -> DataFrame:
+    """(ord, line): the links among the ``k`` nodes of highest degree (id, degree), as diagram lines."""
+    top = F.broadcast(degree.orderBy(F.desc("degree"), "id").limit(k).select("id"))
+    kept = links.join(top, links["source"] == top["id"], "left_semi").join(top, links["target"] == top["id"], "left_semi").select("source", "target").distinct()
+    # At most k * k rows.
+    return kept.select(F.row_number().over(Window.orderBy("source", "target")).cast("long").alias("ord"), F.concat(F.lit("    "), "source", F.lit(" --> "), "target").alias("line"))
+
+
+def index_lines(modules: DataFrame, exports: DataFrame) -> DataFrame:
+    """(path, line): an index entry per module, with how much it exports."""
+    n = exports.groupBy("path").agg(F.count("*").alias("n"))
+    out = modules.join(n, "path", "left")
+    return out.select("path", F.concat(F.lit("- ["), "path", F.lit("]("), "path", F.lit("): "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" exports")).alias("line"))

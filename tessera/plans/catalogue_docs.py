@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tessera.functions import filters
 from tessera.functions import text as ft
 from tessera.operators import checks as C
-from tessera.operators import modules, render, search
-from tessera.sources import stores
+from tessera.operators import code, documents, graph, modules, render, search
+from tessera.sources import coverage, stores
 from tessera.sources.tables import REPO_SQL, repo_map, table
+from tessera.streaming import daily
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -276,3 +277,59 @@ def changed_entries(spark, d):
 def repository_registry(spark, d):
     e = table(spark, d, "events")
     return stores.registry(e.select(F.col("event_id").alias("at"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.concat(F.lit("r/"), F.col("event_id").cast("string")).alias("path")))
+
+
+# Changes, states, reports
+
+_OLD_NEW = "o AS (SELECT p_name || p_partkey AS path, CASE WHEN p_size % 3 = 0 THEN 'x' ELSE p_type END AS hash FROM part WHERE p_size % 5 > 0), n AS (SELECT p_name || p_partkey AS path, p_type AS hash FROM part WHERE p_size % 7 > 0)"
+
+
+@query(f"WITH {_OLD_NEW} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'created' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS event_type FROM o FULL JOIN n ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash")
+def change_events(spark, d):
+    part, path = table(spark, d, "part"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("path")
+    old = part.where("p_size % 5 > 0").select(path, F.when(F.col("p_size") % 3 == 0, "x").otherwise(F.col("p_type")).alias("hash"))
+    return daily.change_events(old, part.where("p_size % 7 > 0").select(path, F.col("p_type").alias("hash")))
+
+
+@query("SELECT user_id AS generation_id, max_by(event_type, event_id) AS status, max(event_id) AS updated_at FROM events GROUP BY 1")
+def latest_status(spark, d):
+    return daily.latest_status(table(spark, d, "events").select(F.col("user_id").alias("generation_id"), "event_type", F.col("event_id").alias("created_at")))
+
+
+@query("SELECT 'q' || query AS query_id, repo, id, score FROM (SELECT l_linenumber AS query, 's' || l_suppkey AS repo, l_orderkey AS id, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, repo, id) <= 10")
+def search_repositories(spark, d):
+    found = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("query"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("repo"), F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("score"))
+    return documents.search_repositories(found.select(F.concat(F.lit("q"), F.col("query").cast("string")).alias("query_id"), "repo", "id", "score")).select("query_id", "repo", "id", "score")
+
+
+@query(f"WITH {REPO_SQL}, g AS (SELECT path AS id, (SELECT count(*) FROM links WHERE source = path) + (SELECT count(*) FROM links WHERE target = path) AS degree FROM mods), t AS (SELECT id FROM g ORDER BY degree DESC, id LIMIT 20) SELECT row_number() OVER (ORDER BY source, target) AS ord, '    ' || source || ' --> ' || target AS line FROM links WHERE source IN (SELECT id FROM t) AND target IN (SELECT id FROM t)")
+def top_diagram(spark, d):
+    mods, exports, imports = repo_map(spark, d)
+    links = modules.resolve_names(mods, exports, imports).where("via <> 'layer'").select(F.col("path").alias("source"), "target").distinct()
+    return render.top_diagram(graph.degrees(mods.select(F.col("path").alias("id"), "layer"), links), links)
+
+
+@query(f"WITH {REPO_SQL} SELECT path, '- [' || path || '](' || path || '): ' || (SELECT count(*) FROM exports e WHERE e.path = m.path) || ' exports' AS line FROM mods m")
+def index_lines(spark, d):
+    mods, exports, _ = repo_map(spark, d)
+    return render.index_lines(mods, exports)
+
+
+@query("SELECT p_brand AS path, p_name || p_partkey AS name, CAST(p_size AS BIGINT) AS complexity FROM part ORDER BY p_size DESC, p_brand, p_name || p_partkey LIMIT 10")
+def complexity_hotspots(spark, d):
+    return code.hotspots(table(spark, d, "part").select(F.col("p_brand").alias("path"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("long").alias("complexity")))
+
+
+@query("""WITH r AS (SELECT p_brand AS path, CAST(sum(p_size) AS BIGINT) AS lines_covered, CAST(count(*) * 50 AS BIGINT) AS lines_total, CAST(sum(p_size) AS DOUBLE) / (count(*) * 50) AS line_rate FROM part GROUP BY 1)
+SELECT path, round(line_rate, 6) AS line_rate, CASE WHEN line_rate >= 0.8 THEN 'green' WHEN line_rate >= 0.6 THEN 'yellow' ELSE 'red' END AS badge FROM r ORDER BY r.line_rate, path LIMIT 5""")
+def worst_covered(spark, d):
+    rows = table(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sum("p_size").alias("lines_covered"), (F.count("*") * 50).alias("lines_total"))
+    return coverage.worst_files(rows.withColumn("line_rate", F.col("lines_covered") / F.col("lines_total")), 5).select("path", F.round("line_rate", 6).alias("line_rate"), "badge")
+
+
+@query("SELECT p_partkey AS id, CAST(CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true ELSE false END AS BOOLEAN) AS is_test, CASE p_partkey % 6 WHEN 0 THEN 'main' WHEN 1 THEN 'backend' WHEN 2 THEN 'frontend' WHEN 3 THEN 'shared' WHEN 4 THEN 'main' ELSE 'infra' END AS layer FROM part")
+def path_rules(spark, d):
+    # A Python file in a folder of tests is no test by its name.
+    names = ("a/test_x.py", "api/tests/x.py", "web/x.spec.ts", "lib/x.go", "a/x_test.go", "deploy/x.rs")
+    path = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), ft.is_test_file(path).alias("is_test"), ft.layer_of(path).alias("layer"))
