@@ -22,6 +22,11 @@ from tessera.llm.common import lower_az, settle, table
 ORACLE_SQL = None
 
 
+def _bounded(spark: SparkSession) -> None:
+    """From here on Python workers of this session get batches of at most 16 MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def _restored(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(columns)))
 
@@ -45,6 +50,7 @@ def _kept(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the language model rejects."""
+    _bounded(spark)
     model = language_id.fit(docs)
     found = language_id.identify(docs, model, payload=tuple(docs.columns))
     return _restored(found.where("not rejected"), docs.columns)
@@ -64,6 +70,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that contain a window of the benchmark."""
+    _bounded(spark)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), payload=tuple(docs.columns))
     return _restored(found.where("not contaminated"), docs.columns)
 
