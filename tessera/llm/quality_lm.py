@@ -17,7 +17,8 @@ N-grams travel packed: the tokens of a batch of texts are sorted by shard, a has
 n-grams of about ``SHARD`` trusted tokens, and each batch sends a shard one row of sorted,
 compressed columns. A shard meets its counts, the values of its rare words, and all requests in
 one sorted stream, whose only state is the shard's counts: a hot n-gram makes the stream
-longer, never the state larger. Within a shard n-grams are named by 48 bits, so of 2^27
+longer, never the state larger. It answers a batch with one packed row of sums, and the answers to
+a batch meet its texts in a second stream. Within a shard n-grams are named by 44 bits, so of 2^24
 unknown ones about one is taken for a known one. The ``HOT`` bigrams most frequent in training
 and the frequent words are broadcast (of fixed size) and summed in place; requests for
 what a Bloom filter of fixed size excludes are not sent.
@@ -103,8 +104,8 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _name(key: np.ndarray) -> np.ndarray:
-    """48 bits that tell n-grams of a shard apart."""
-    return mix(key) >> np.uint64(16)
+    """44 bits that tell n-grams of a shard apart."""
+    return mix(key) >> np.uint64(20)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -315,7 +316,7 @@ def train(trusted: DataFrame, text_col: str = "text") -> dict | None:
 STREAM = "shard int, kind int, a long, x double, y double, z double, blob binary, row long, doc_id {id}, lang string, held boolean, n_words long"
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), None, pa.string(), pa.bool_(), pa.int64()]
 #: What a row of the stream is, in the order a shard reads them: values of rare words, counts, requests, documents.
-WORD, RARE, COUNTS, REQUEST, DOCUMENT = range(5)
+WORD, RARE, COUNTS, REQUEST, ANSWER, DOCUMENT = range(6)
 
 
 def _stream(n: int, id_kind: pa.DataType, columns: dict[int, pa.Array]) -> pa.RecordBatch:
@@ -330,14 +331,16 @@ def _requests(model, id_kind: pa.DataType):
         keys, values, shards = m["keys"], m["values"], m["shards"]
         for batch in batches:
             rows, held, size, log_p, n_words = batch.column(0).to_numpy(), [], 0, [], []
+            if not len(rows):
+                continue
+            # The batch goes by its first row's number, documents in it by their place (``y``).
+            low = int(rows[0])
 
             def flushed(held):
                 key, of = (np.concatenate(x) for x in zip(*held, strict=True))
-                of = rows[of]
-                low = int(of.min()) if len(of) else 0
                 shard, name = _shard(key, shards), _name(key)
                 order = np.argsort(shard.astype(np.uint64) << np.uint64(48) | name) if shards < 1 << 16 else np.lexsort((name, shard))
-                shard, name, of = shard[order], name[order], of[order] - low
+                shard, name, of = shard[order], name[order], of[order]
                 cut = np.searchsorted(shard, np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cut)):
                     x = slice(cut[s], cut[s + 1])
@@ -368,15 +371,14 @@ def _requests(model, id_kind: pa.DataType):
             if size:
                 yield from flushed(held)
             n = len(rows)
-            if n:
-                spread = pa.array((rows % shards).astype(np.int32))
-                yield _stream(n, id_kind, {0: spread, 1: pa.array(np.full(n, DOCUMENT, np.int32)), 3: pa.array(np.concatenate(log_p)), 7: batch.column(0), 8: batch.column(1), 9: batch.column(3), 10: batch.column(4), 11: pa.array(np.concatenate(n_words))})
+            spread, base = pa.array(np.full(n, low % shards, np.int32)), pa.array(np.full(n, low))
+            yield _stream(n, id_kind, {0: spread, 1: pa.array(np.full(n, DOCUMENT, np.int32)), 2: base, 4: pa.array(np.arange(n, dtype=np.float64)), 3: pa.array(np.concatenate(log_p)), 7: batch.column(0), 8: batch.column(1), 9: batch.column(3), 10: batch.column(4), 11: pa.array(np.concatenate(n_words))})
 
     return run
 
 
 def _answers(model, id_kind: pa.DataType):
-    """Of the stream sorted by shard and kind, partial sums ``x`` per document, and the documents as they are."""
+    """Of the stream sorted by shard and kind, an answer per request with sums by the places of documents in their batch, and the documents as they are."""
 
     def values_of(blob, m, words, word_values):
         b, c, n = _unpacked_counts(blob)
@@ -430,14 +432,44 @@ def _answers(model, id_kind: pa.DataType):
                             continue
                         docs, where = np.unique(of[hit], return_inverse=True)
                         # In single precision, which packs better.
-                        sums = np.bincount(where, table[1][place[hit]], len(docs)).astype(np.float32).astype(np.float64)
-                        yield _stream(len(docs), id_kind, {3: pa.array(sums), 7: pa.array(docs + low)})
+                        sums = np.bincount(where, table[1][place[hit]], len(docs)).astype(np.float32)
+                        blob = _pack(_steps(docs.astype(np.int32)), sums)
+                        yield _stream(1, id_kind, {0: pa.array([s], pa.int32()), 1: pa.array([ANSWER], pa.int32()), 2: pa.array([low]), 6: pa.array([blob], pa.binary())})
                 else:
                     yield _stream(part.num_rows, id_kind, dict(enumerate(part.columns)))
 
     return run
 
 
+def _summed(id_kind: pa.DataType):
+    """Of answers and documents sorted by batch and kind, the documents with all sums added to ``x``."""
+
+    def run(batches):
+        low, sums, size = None, np.zeros(0), 0
+        for batch in batches:
+            of_batch, of_kind = batch.column(2).to_numpy(), batch.column(1).to_numpy()
+            first = np.flatnonzero(np.r_[True, (of_batch[1:] != of_batch[:-1]) | (of_kind[1:] != of_kind[:-1])][: batch.num_rows])
+            for at, until in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True):
+                part = batch.slice(at, until - at)
+                if int(of_batch[at]) != low:
+                    low, sums = int(of_batch[at]), np.zeros(0)
+                if of_kind[at] == ANSWER:
+                    for blob in part.column(6):
+                        step, x = _unpack(blob.as_py(), np.int32, np.float32)
+                        docs = np.cumsum(step)
+                        if docs[-1] >= len(sums):
+                            sums = np.r_[sums, np.zeros(docs[-1] + 1 - len(sums))]
+                        sums[docs] += x
+                    continue
+                place = part.column(4).to_numpy().astype(np.int64)
+                x = np.array(part.column(3).to_numpy())
+                known = place < len(sums)
+                x[known] += sums[place[known]]
+                yield _stream(len(x), id_kind, dict(enumerate(part.columns)) | {3: pa.array(x)})
+
+    return run
+
+
 def perplexities(docs: DataFrame, model: dict, hot: int = HOT) -> DataFrame:
     """``docs``: (row, doc_id, t, lang, held). One row each: row, doc_id, lang, held, n_words, perplexity."""
     spark = docs.sparkSession
@@ -488,8 +520,8 @@ def perplexities(docs: DataFrame, model: dict, hot: int = HOT) -> DataFrame:
     every = every.unionByName(rows(blobs, shard=F.col("shard"), kind=kinds(COUNTS), blob=F.col("blob")))
     every = every.unionByName(docs.select("row", "doc_id", "t", "lang", "held").mapInArrow(_requests(sent, id_kind), stream))
     found = every.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_answers(sent, id_kind), stream)
-    found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("held").alias("held"), F.max("n_words").alias("n_words"), F.sum("x").alias("log_p"))
-    return found.select("row", "doc_id", "lang", "held", "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / (F.col("n_words") + 1))).alias("perplexity"))
+    found = found.repartition("a").sortWithinPartitions("a", "kind").mapInArrow(_summed(id_kind), stream)
+    return found.select("row", "doc_id", "lang", "held", "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("x") / (F.col("n_words") + 1))).alias("perplexity"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", quantile: float = QUANTILE, few_labels: int = FEW_LABELS) -> DataFrame:
