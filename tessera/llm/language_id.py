@@ -35,8 +35,9 @@ SAMPLE = 4096
 LEAST = 32
 CENTROIDS = 4
 PRIOR = 100
-#: Centroids scored at once.
+#: Centroids and texts scored at once.
 BLOCK = 512
+TEXTS = 32
 #: Documents whose crc32 leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 4, 2
 
@@ -173,8 +174,8 @@ def _predicted(model, text_at: int, rest: int):
             letters = batch.column(1).to_pylist()
             for lo, hi, data, offs in text_parts(batch.column(text_at)):
                 cells, at = gram_cells(data, offs)
-                for a in range(0, hi - lo, 64):
-                    b = min(a + 64, hi - lo)
+                for a in range(0, hi - lo, TEXTS):
+                    b = min(a + TEXTS, hi - lo)
                     row = np.repeat(np.arange(b - a), np.diff(at[a : b + 1])) * DIMS
                     tf = np.bincount(row + cells[at[a] : at[b]], minlength=(b - a) * DIMS).reshape(b - a, DIMS).astype(np.float32)
                     if n_langs:

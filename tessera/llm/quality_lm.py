@@ -50,6 +50,8 @@ from tessera.llm.lexer import alnum_lexer, mix, text_parts
 #: So many words have small numbers; fixed, whatever the vocabulary's size.
 FREQUENT = 1 << 18
 HOT = 1 << 20
+#: The filter of n-grams has 2^FILTER_BITS bits (16 MB); fixed, whatever the model's size.
+FILTER_BITS = 27
 #: Trusted tokens per shard.
 SHARD = 1 << 20
 #: Tokens that a task sorts at once.
@@ -502,7 +504,7 @@ def perplexities(docs: DataFrame, model: dict, hot: int = HOT) -> DataFrame:
 
     model_shards = model["shards"]
     rare_rows = rare_values.mapInArrow(rare_keys, "shard int, a long, x double")
-    bits = bloom.build(blobs.mapInArrow(all_keys, "key long").unionByName(rare_rows.selectExpr("a as key")))
+    bits = bloom.build(blobs.mapInArrow(all_keys, "key long").unionByName(rare_rows.selectExpr("a as key")), FILTER_BITS)
     u = np.log(model["p1"]) - math.log(base) + np.log(model["mass"])
     end, start = math.log(model["p1"][END]), math.log(model["mass"][START])
     parts = {"keys": keys, "values": v, "bits": bits, "u": u, "base": math.log(base), "start": start, "end": end, **{k: model[k] for k in ("frequent", "shards", "p1", "mass", "total", "d2")}}
