@@ -373,7 +373,8 @@ def _requests(model, id_kind: pa.DataType):
             if size:
                 yield from flushed(held)
             n = len(rows)
-            spread, base = pa.array(np.full(n, low % shards, np.int32)), pa.array(np.full(n, low))
+            # Documents only pass through a shard, any one.
+            spread, base = pa.array((mix(rows.view(np.uint64)) % np.uint64(shards)).astype(np.int32)), pa.array(np.full(n, low))
             yield _stream(n, id_kind, {0: spread, 1: pa.array(np.full(n, DOCUMENT, np.int32)), 2: base, 4: pa.array(np.arange(n, dtype=np.float64)), 3: pa.array(np.concatenate(log_p)), 7: batch.column(0), 8: batch.column(1), 9: batch.column(3), 10: batch.column(4), 11: pa.array(np.concatenate(n_words))})
 
     return run
