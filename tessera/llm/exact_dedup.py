@@ -72,21 +72,26 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = _renamed(blocks, keep, F.col("parts"), ranks)
     named = settle(named, "blocks")
 
-    level = 0
+    level, done = 0, []
     longest = named.agg(F.max(F.size("names"))).first()[0] or 1
     while longest > 1:
         level += 1
         pair = lambda i: F.struct(F.get("names", i * 2).alias("x"), F.get("names", i * 2 + 1).alias("y"))
         pairs = F.transform(F.sequence(F.lit(0), F.expr("(size(names) + 1) div 2 - 1").cast("int")), pair)
         parts = F.transform(pairs, lambda k: F.struct(_bucket(k, bucket_bits).alias("b"), k.alias("key")))
+        done.append(named.where(F.size("names") <= 1))
         long = named.where(F.size("names") > 1)
         ranks = _ranks(long.select(F.explode(parts).alias("p")).select("p.b", "p.key"), level)
-        short = named.where(F.size("names") <= 1)
         if ranks is None:
-            named = named.select(*keep, F.when(F.size("names") > 1, F.transform(parts, lambda p: F.struct(p.b.alias("b"), F.lit(0).alias("r")))).otherwise(F.col("names")).alias("names"))
+            paired = long.select(*keep, F.transform(parts, lambda p: F.struct(p.b.alias("b"), F.lit(0).alias("r"))).alias("names"))
         else:
-            named = settle(_renamed(long, keep, parts, ranks).unionByName(short), f"level{level}")
+            paired = _renamed(long, keep, parts, ranks)
+        # Each level is written: the filters on the size of ``names`` move below an unwritten level's projection, and
+        # their conditions, and with them the driver's plans, grow fourfold with each such level.
+        named = settle(paired, f"level{level}")
         longest = (longest + 1) // 2
+    for rows in done:
+        named = named.unionByName(rows)
     return named.select(*keep, F.element_at("names", 1).b.alias("b"), F.element_at("names", 1).r.alias("r"))
 
 

@@ -135,6 +135,22 @@ def test_block_names_do_not_depend_on_hashes(spark):
     assert got == {i: (max(g), len(g), i == max(g)) for g in same.values() for i in g}
 
 
+def test_exact_dedup_plans_do_not_grow_with_the_levels(spark, monkeypatch):
+    """A text of 32 blocks has five levels; each level's plan is about as long as the first one's."""
+    plans, ranks = [], exact_dedup._ranks
+
+    def measured(contents, level):
+        plans.append(len(contents._jdf.queryExecution().optimizedPlan().toString()))
+        return ranks(contents, level)
+
+    monkeypatch.setattr(exact_dedup, "_ranks", measured)
+    texts = ["ab" * 64, "AB" * 64, "ab" * 63 + "ac", "ab" * 64 + "a", "ab" * 9, "ab", "ab" * 9, "AB", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, block_bytes=4).collect()}
+    assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (6, 2), 5: (7, 2), 6: (6, 2), 7: (7, 2), 8: (9, 2), 9: (9, 2)}
+    assert len(plans) == 7 and max(plans[1:]) < 1.5 * plans[1], plans
+
+
 def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     kept = exact_dedup.exact_groups(odd_docs(spark)).where("kept").select("doc_id").collect()
     assert sorted(r[0] for r in kept) == [3, 4, 5, 6, 7]
