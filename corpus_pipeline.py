@@ -23,8 +23,8 @@ ORACLE_SQL = None
 
 
 def _bounded(spark: SparkSession) -> None:
-    """From here on Python workers of this session get batches of at most 16 MB, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """From here on Python workers of this session get batches of at most 4 MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def _restored(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 19
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240229))
