@@ -80,3 +80,10 @@ def test_bm25_scores_in_place_as_by_joining_and_shuffles_only_the_best(spark, mo
     monkeypatch.setattr(search, "top", lambda scores, *_: found.append(scores.count()) or scores)
     ask()
     assert found[0] < 2000  # of 12,000 pairs of a query and a document that share a word
+
+
+def test_hybrid_search_joins_only_its_two_short_lists(spark):
+    from tessera.plans import catalogue
+
+    plan = catalogue.QUERIES["hybrid_rrf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Join FullOuter" in plan
