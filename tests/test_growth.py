@@ -87,3 +87,44 @@ def test_hybrid_search_joins_only_its_two_short_lists(spark):
 
     plan = catalogue.QUERIES["hybrid_rrf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Join FullOuter" in plan
+
+
+def _walk(steps, root, depth):
+    found, front = {root: 0}, {root}
+    for d in range(1, depth + 1):
+        front = {b for a, b in steps if a in front} - set(found)
+        found |= dict.fromkeys(front, d)
+    return found
+
+
+def test_roots_walk_64_at_a_time_with_each_at_its_own_depth(spark, monkeypatch):
+    import random
+
+    from tessera.operators import checks, graph
+
+    r = random.Random(5)
+    steps = {(r.randrange(220), r.randrange(220)) for _ in range(500)}
+    roots = list(range(0, 220, 2)) + [900]
+    want = {(a, b, d) for a in roots for b, d in _walk(steps, a, 3).items()}
+    links = spark.createDataFrame(sorted(steps) * 2, "use long, definition long")
+    uses = spark.createDataFrame([(a,) for a in roots], "root long")
+    assert rows(checks.slice_back(uses, links), "root", "node", "round") == sorted(want)
+    edges = links.select(F.col("definition").alias("source"), F.col("use").alias("target"), F.lit(1).cast("long").alias("weight"))
+    assert rows(graph.blast_radius(edges, uses), "root", "node", "depth") == sorted(x for x in want if x[2])
+    changed = uses.select(F.col("root").alias("path"))
+    got = modules.joint_blast(edges, changed, cap=9).first()
+    others = {(b, d) for _, b, d in want if d and b not in roots}
+    assert tuple(got) == (len({b for b, _ in others}), max(d for _, d in others), True)
+    impact = {a: n for a, n in rows(modules.entity_impact(edges, changed), "root", "n_affected")}
+    assert impact == {a: sum(x[0] == a and x[2] > 0 for x in want) for a in roots}
+
+
+def test_roots_with_the_same_way_share_its_rows(spark):
+    from tessera.operators import graph
+
+    # 640 roots lead to the same 1,000 nodes: 640,000 pairs, but a row per pack of roots and node.
+    step = spark.range(640).select(F.col("id").alias("at"), F.lit(-1).cast("long").alias("next")).union(spark.range(1000).select(F.lit(-1).cast("long"), -F.col("id") - 2))
+    numbered = graph.numbered_roots(spark.range(640).select(F.col("id").alias("root")))
+    packs = graph.packed_steps(numbered, step, 2)
+    assert packs.where("depth = 2").count() < 100_000
+    assert graph.unpacked(packs.where("depth = 2"), numbered).distinct().count() == 640_000
