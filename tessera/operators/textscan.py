@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import n_words, occurrences
+from tessera.operators.blocks import dealt, sliced, values
+from tessera.sources.shared import settle
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -357,12 +362,59 @@ def strip_html(html: Column) -> Column:
 NEGATIVE = "(^| )(never|not|avoid|don't|no)( |$)"
 
 
+#: Rules in a block, and pairs of equal words of two blocks that are counted at once.
+RULES, EQUAL = 4096, 1_000_000
+
+
+def _word_blocks(docs: DataFrame) -> DataFrame:
+    """(ids, doc, word): documents (id, words) in blocks; every word's number with the place of its document in the block, by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, RULES):
+            words = b.column(1)
+            doc = np.repeat(np.arange(b.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+            word = words.flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, b.num_rows], b.column(0)), pa.array([doc.tobytes()], pa.binary()), pa.array([word.tobytes()], pa.binary())], ["ids", "doc", "word"])
+
+    return settle(dealt(docs, docs.count(), 2 * RULES).mapInArrow(run, f"ids array<{dict(docs.dtypes)['id']}>, doc binary, word binary"), "rules")
+
+
 def rule_conflicts(rules: DataFrame, id_col: str, text_col: str, subject_length: int = 9) -> DataFrame:
-    """(a, b): rules of opposite polarity that share a subject word. Pairs meet through the exploded words, never all with all."""
+    """(a, b): rules of opposite polarity that share a subject word, and how many they share.
+
+    The result grows with the square of the rules; what is shuffled does not: whole rules meet in blocks, their words as numbers, and a pair is
+    counted where its blocks meet.
+    """
     from tessera.functions.text import tokens
 
     text = F.lower(F.col(text_col))
     words = F.array_distinct(F.filter(tokens(F.col(text_col)), lambda w: F.length(w) >= subject_length))
-    rows = rules.select(F.col(id_col).alias("id"), text.rlike(NEGATIVE).alias("neg"), F.explode(words).alias("w"))
-    a, b = rows.where("not neg").select(F.col("id").alias("a"), "w"), rows.where("neg").select(F.col("id").alias("b"), "w")
-    return a.join(b, "w").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # The polarity is found per rule, before its words become rows.
+    rows = rules.select(F.col(id_col).alias("id"), text.rlike(NEGATIVE).alias("neg"), words.alias("words"))
+    rows = settle(rows.select("id", "neg", F.explode("words").alias("w")), "subjects")
+    both = rows.groupBy("w").agg(F.bool_or("neg").alias("n"), F.bool_and("neg").alias("all")).where("n and not all")
+    both = settle(both.select("w", F.monotonically_increasing_id().alias("no")), "words")
+    docs = settle(rows.join(both, "w").groupBy("id", "neg").agg(F.collect_list("no").alias("words")), "numbered")
+    a, b = (_word_blocks(docs.where(side).select("id", "words")) for side in ("not neg", "neg"))
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, word, b_doc, b_word = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (1, 2, 4, 5))
+                at = np.argsort(b_word, kind="stable")
+                b_doc, b_word = b_doc[at], b_word[at]
+                first = np.searchsorted(b_word, word, "left")
+                n = np.searchsorted(b_word, word, "right") - first
+                a_ids, b_ids = values(batch.column(0), i), values(batch.column(3), i)
+                # A document's words differ, so that all it meets are no more than the words of the other block.
+                part = np.cumsum(np.bincount(doc, n, len(a_ids))).astype(np.int64)[doc] // EQUAL
+                for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+                    k = n[lo:hi]
+                    other = np.repeat(first[lo:hi] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                    pair, shared = np.unique(np.repeat(doc[lo:hi], k) * len(b_ids) + b_doc[other], return_counts=True)
+                    found = [a_ids.take(pa.array(pair // len(b_ids))), b_ids.take(pa.array(pair % len(b_ids))), pa.array(shared, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(found, ["a", "b", "shared"])
+
+    pairs = a.crossJoin(b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns)))
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}, shared long")

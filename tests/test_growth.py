@@ -128,3 +128,21 @@ def test_roots_with_the_same_way_share_its_rows(spark):
     packs = graph.packed_steps(numbered, step, 2)
     assert packs.where("depth = 2").count() < 100_000
     assert graph.unpacked(packs.where("depth = 2"), numbered).distinct().count() == 640_000
+
+
+def test_rule_conflicts_are_counted_where_blocks_meet(spark, monkeypatch):
+    import random
+
+    from tessera.operators import textscan
+
+    monkeypatch.setattr(textscan, "RULES", 16)
+    monkeypatch.setattr(textscan, "EQUAL", 40)
+    r = random.Random(3)
+    texts = {i: " ".join([*(f"subject{r.randrange(60):03}" for _ in range(r.randrange(6))), "never" if i % 3 == 0 else "", "short"]) for i in range(300)}
+    texts[300] = None
+    df = textscan.rule_conflicts(spark.createDataFrame(list(texts.items()), "i long, t string"), "i", "t")
+    of = {i: set(w for w in (t or "").split() if len(w) > 8) for i, t in texts.items()}
+    want = sorted((a, b, len(of[a] & of[b])) for a in of for b in of if a % 3 and b % 3 == 0 and of[a] & of[b])
+    assert rows(df, "a", "b", "shared") == want
+    df.collect()
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()  # pairs are never shuffled
