@@ -146,3 +146,53 @@ def test_rule_conflicts_are_counted_where_blocks_meet(spark, monkeypatch):
     assert rows(df, "a", "b", "shared") == want
     df.collect()
     assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()  # pairs are never shuffled
+
+
+def test_modularity_in_flat_arrays_is_small_and_the_same(spark):
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from tessera.operators import graph
+
+    def by_dicts(ids, weights):
+        near = {i: {} for i in ids}
+        for (a, b), w in weights.items():
+            if a != b:
+                near[a][b] = near[a].get(b, 0.0) + w
+                near[b][a] = near[b].get(a, 0.0) + w
+        m = sum(sum(x.values()) for x in near.values()) / 2
+        of = {i: k for k, i in enumerate(ids)}
+        total = {k: len(near[i]) for i, k in of.items()}
+        for _ in range(50):
+            before = dict(of)
+            for i in ids:
+                total[of[i]] -= len(near[i])
+                inside = {}
+                for j, w in near[i].items():
+                    inside[of[j]] = inside.get(of[j], 0.0) + w
+                gain = {c: inside.get(c, 0.0) / m - total[c] * len(near[i]) / (2 * m * m) for c in [*inside, of[i]]}
+                best = max(gain.values())
+                of[i] = of[i] if gain[of[i]] == best else min(c for c in gain if gain[c] == best)
+                total[of[i]] += len(near[i])
+            if of == before:
+                break
+        number = {c: k for k, c in enumerate(sorted(set(of.values())))}
+        return {i: number[c] for i, c in of.items()}
+
+    r = random.Random(2)
+    ids = [f"n{i:03}" for i in range(120)]
+    pairs = sorted({(r.choice(ids), r.choice(ids[:60])) for _ in range(300)})
+    weights = {p: float(r.randrange(1, 4)) for p in pairs}
+    want = by_dicts(ids, weights)
+    assert graph.move_by_modularity(ids, weights) == want
+    nodes = spark.createDataFrame([(i, "x") for i in ids], "id string, layer string")
+    edges = spark.createDataFrame([(a, b, int(w)) for (a, b), w in weights.items()], "source string, target string, weight long")
+    assert dict(rows(graph.modularity_communities(nodes, edges), "id", "community")) == want
+    n = 100_000
+    tracemalloc.start()
+    graph.moves(n, np.arange(25, n), np.arange(25, n) % 25, np.ones(n - 25), rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 * n  # dictionaries of names take over 800 bytes a node
