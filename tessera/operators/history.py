@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import settle
+
 
 def co_change_pairs(commit_files: DataFrame, min_commits: int = 3, threshold: float = 0.5, max_files: int = 20) -> DataFrame:
     """Pairs of files changed together: counts and Jaccard share.
@@ -26,7 +28,10 @@ def co_change_pairs(commit_files: DataFrame, min_commits: int = 3, threshold: fl
 
 def hidden_coupling(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Adds whether a pair is linked by an import in either direction, and the confidence that goes with it (0.8 hidden, 0.5 linked)."""
-    both = links.select(F.least("source", "target").alias("file_a"), F.greatest("source", "target").alias("file_b")).distinct().withColumn("linked", F.lit(True))
+    pairs = settle(pairs, "pairs")
+    both = links.select(F.least("source", "target").alias("file_a"), F.greatest("source", "target").alias("file_b"))
+    # Only links between paired files matter; the others leave before they are made distinct.
+    both = both.join(pairs.select("file_a", "file_b"), ["file_a", "file_b"], "left_semi").distinct().withColumn("linked", F.lit(True))
     found = pairs.join(both, ["file_a", "file_b"], "left")
     linked = F.coalesce("linked", F.lit(False))
     return found.select(*pairs.columns, linked.alias("has_import"), F.when(linked, 0.5).otherwise(0.8).alias("confidence"))

@@ -196,3 +196,14 @@ def test_modularity_in_flat_arrays_is_small_and_the_same(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250 * n  # dictionaries of names take over 800 bytes a node
+
+
+def test_hidden_coupling_makes_only_links_of_pairs_distinct(spark):
+    from tessera.operators import history
+
+    pairs = spark.createDataFrame([(1, 2, 5), (3, 4, 5), (7, 6, 5)], "file_a long, file_b long, co_change_count long")
+    links = spark.createDataFrame([(2, 1), (1, 2), (3, 9), (4, 5)], "source long, target long")
+    found = history.hidden_coupling(pairs, links)
+    assert rows(found, "file_a", "file_b", "has_import", "confidence") == [(1, 2, True, 0.5), (3, 4, False, 0.8), (7, 6, False, 0.8)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate") :]
